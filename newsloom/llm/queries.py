@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from newsloom.llm import urls, warc
+from pyspark.sql import functions as F
+
+from newsloom.llm import chat, media, secrets, urls, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -53,3 +55,22 @@ def op5(spark, sf_dir):
 def op10(spark, sf_dir):
     got = warc.round_trip(_table(spark, sf_dir, "pages"))
     return got.selectExpr("metadata.capture_id AS page_id", "response.payload_bytes AS payload_bytes", "response.payload_digest AS payload_digest", "response.warc_type AS record_type", "metadata.refers_to AS refers_to")
+
+
+@query("op2_secret_scan")
+def op2(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan(docs).select("doc_id", *secrets.digest_columns(F.col("spans")))
+
+
+@query("op8_chat_format")
+def op8(spark, sf_dir):
+    turns = chat.rows_to_turns(_table(spark, sf_dir, "conversations"))
+    said = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.read_back(chat.format_turns(turns.unionByName(added)))
+
+
+@query("op4_media_jpeg")
+def op4(spark, sf_dir):
+    return media.features(media.with_media(_table(spark, sf_dir, "documents")))
