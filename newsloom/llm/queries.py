@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, media, secrets, urls, warc
+from newsloom.llm import chat, decontamination, media, secrets, sentencepiece, urls, warc
+
+#: The folder of the tokenizers' files.
+TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
 
 QUERIES, ORACLES = {}, {}
 
@@ -74,3 +79,29 @@ def op8(spark, sf_dir):
 @query("op4_media_jpeg")
 def op4(spark, sf_dir):
     return media.features(media.with_media(_table(spark, sf_dir, "documents")))
+
+
+_OP1_SQL = r"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    i AS (SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+    win AS (SELECT item_id, least(len(w), 8) AS n, array_to_string(w[s : s + least(len(w), 8) - 1], ' ') AS t
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+    places AS (SELECT d.r, s, z.n, array_to_string(d.w[s : s + z.n - 1], ' ') AS t FROM d, (SELECT DISTINCT n FROM win) z, unnest(range(1, len(d.w) - z.n + 2)) AS u(s)),
+    met AS (SELECT p.r, p.s, p.n, win.item_id FROM places p JOIN win ON p.t = win.t AND p.n = win.n),
+    hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM met) GROUP BY 1),
+    its AS (SELECT r, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ks FROM (SELECT DISTINCT r, item_id::VARCHAR AS k FROM met) GROUP BY 1)
+    SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(ks, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+    FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
+    """
+
+
+@query("op1_decontamination", _OP1_SQL)
+def op1(spark, sf_dir):
+    marked = decontamination.mark(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", *decontamination.digest_columns()).drop("n_near")
+
+
+@query("op3_sentencepiece")
+def op3(spark, sf_dir):
+    return sentencepiece.round_trip(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
