@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, decontamination, media, secrets, sentencepiece, urls, warc
+from newsloom.llm import chat, decontamination, media, secrets, sentencepiece, tokencounts, toxicity, urls, warc
 
 #: The folder of the tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
@@ -105,3 +105,17 @@ def op1(spark, sf_dir):
 @query("op3_sentencepiece")
 def op3(spark, sf_dir):
     return sentencepiece.round_trip(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+@query("op6_toxicity")
+def op6(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op7_token_counts")
+def op7(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return tokencounts.rollup_of(docs, "byte_bpe_50k", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")

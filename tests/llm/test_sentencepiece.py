@@ -1,6 +1,7 @@
 import hashlib
 import os
 import random
+import struct
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -23,16 +24,20 @@ def varint(n):
 def field(number, value):
     if isinstance(value, int):
         return varint(number << 3) + varint(value)
-    if number == 2 and len(value) == 4:
+    if number == 2:
         return varint(number << 3 | 5) + value
     return varint(number << 3 | 2) + varint(len(value)) + value
 
 
 def as_unigram(path, to):
-    """The same pieces and scores as a unigram model, which the library can search, too."""
+    """The same pieces, with other scores, as a unigram model, which the library can search, too."""
     raw = open(path, "rb").read()
-    out = b""
+    out, i = b"", 0
     for n, v in sp._fields(raw):
+        if n == 1:
+            # Scores without ties; ties may be broken either way.
+            p, i = dict(sp._fields(v)), i + 1
+            v = b"".join(field(k, struct.pack("<f", -6 - i * 0.61803399 % 1 * 7) if k == 2 else x) for k, x in p.items())
         if n == 2:
             v = field(3, 1) + field(35, 1)
         out += varint(n << 3 | 2) + varint(len(v)) + v if isinstance(v, bytes) else field(n, v)
@@ -60,8 +65,9 @@ def test_search_agrees_with_merging_one_by_one():
     model, r = sp.load(PATH), random.Random(4)
     words = ["".join(r.choice("aeiousthn ▁ingé1.") for _ in range(12)).replace(" ", "") + "x" * 6 for _ in range(3000)]
     words = [w[:11] for w in words if "▁▁" not in w and len(w) >= 11]
-    for w, ids in zip(words, model.search(words)):
-        assert ids == [model.ids.get(p, -1 - i) for p, i in sp._ends(model.merge(w))], w
+    ids, ends = model.search(words)
+    for w, got in zip(words, np.split(ids, ends[:-1])):
+        assert got.tolist() == [model.ids.get(p, -1 - i) for p, i in sp._ends(model.merge(w))], w
 
 
 def test_unigram_ids_are_the_librarys(tmp_path):
@@ -77,7 +83,7 @@ def test_unigram_ids_are_the_librarys(tmp_path):
         ours, theirs = (sum(model.scores[i] for i in x) for x in (ids.tolist(), want))
         assert ids.tolist() == want or ours >= theirs - 0.1, t
         same += ids.tolist() == want
-    assert len(every) > 300 and same > 0.97 * len(every)
+    assert len(every) > 300 and same > 0.99 * len(every)
 
 
 def test_columns(spark):
@@ -99,7 +105,7 @@ def test_cache_is_bounded_and_forgets_nothing_needed():
     model, cache = sp.load(PATH), sp.Cache(keep=5)
     for t in ("a b c d e f g", "h i j k l m", "a b z"):
         assert model.encode([t], cache)[0].tolist() == library.SentencePieceProcessor(model_file=PATH).encode(t)
-    assert len(cache.new) + len(cache.old) < 20
+    assert len(cache.new) + len(cache.old) < 40
 
 
 def test_other_models_are_refused(tmp_path):
