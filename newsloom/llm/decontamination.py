@@ -31,14 +31,20 @@ from newsloom.llm.shared import small, written
 WINDOW = 8
 #: Diagonals in one cell of a proximity match.
 SLOP = 8
-#: Words of a text before A-Z are lowered; lowering moves no border between words.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between the words of a text, A-Z lowered or not: lowering moves no border between words.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def words(text: Column) -> Column:
-    """The words of a text as they stand."""
-    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD), F.lit(0))
+def pieces(text: Column) -> Column:
+    """The words of a text as they stand; an empty string comes first if it begins with no word, last if it ends with none."""
+    return F.split(F.coalesce(text.cast("string"), F.lit("")), BETWEEN, -1)
+
+
+def n_words(pieces: Column) -> Column:
+    """How many words pieces() has: its empty strings, two at most, don't count."""
+    ends = (F.element_at(pieces, 1) == "").cast("int") + ((F.size(pieces) > 1) & (F.element_at(pieces, -1) == "")).cast("int")
+    return F.size(pieces) - ends
 
 
 def ascii_lower(text: Column) -> Column:
@@ -47,14 +53,13 @@ def ascii_lower(text: Column) -> Column:
 
 def item_table(items: DataFrame, *, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """_item, _id, _words (A-Z lowered): one row for each distinct item with words."""
-    rows = items.select(F.col(item_id).cast("string").alias("_id"), F.transform(words(F.col(text)), ascii_lower).alias("_words"))
+    rows = items.select(F.col(item_id).cast("string").alias("_id"), F.filter(F.transform(pieces(F.col(text)), ascii_lower), lambda w: w != "").alias("_words"))
     return rows.filter(F.col("_id").isNotNull() & (F.size("_words") > 0)).distinct().withColumn("_item", F.xxhash64("_id", "_words"))
 
 
 def _postings(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     """_term, _text, _pos of the words whose lower case is in terms."""
-    every = docs.select(F.xxhash64(F.col(text).cast("string")).alias("_text"), F.posexplode(words(F.col(text))).alias("_pos", "_w"))
-    every = every.select(F.lower("_w").alias("_term"), "_text", "_pos")
+    every = docs.select(F.xxhash64(F.col(text).cast("string")).alias("_text"), F.posexplode(pieces(F.lower(F.col(text)))).alias("_pos", "_term"))
     return every.join(small(terms, 80), "_term")
 
 
@@ -103,7 +108,7 @@ def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SL
     found = written(found, "candidates")
 
     base = docs.withColumn("_nl_text", F.xxhash64(F.col(text).cast("string")))
-    rows = base.join(small(found, 2000), "_nl_text", "left").withColumn("_nl_words", words(F.col(text)))
+    rows = base.join(small(found, 2000), "_nl_text", "left").withColumn("_nl_words", pieces(F.col(text)))
     w = F.col("_nl_words")
 
     def aligned(item: Column):
@@ -125,9 +130,11 @@ def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SL
     none = F.array().cast("array<string>")
     ids = F.coalesce(F.array_sort(F.array_distinct(F.transform(exact, lambda h: h["id"]))), none)
     near = F.coalesce(F.array_sort(F.array_distinct(F.transform(F.filter("_nl_hits", lambda h: h["near"]), lambda h: h["id"]))), none)
+    hits = F.array_sort(F.array_distinct(F.flatten(F.transform(exact, lambda h: h["at"]))))
+    lead = (F.element_at(w, 1) == "").cast("int")
     return (
-        judged.withColumn("n_words", F.size("_nl_words").cast("long"))
-        .withColumn("hits", F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform(exact, lambda h: h["at"])))), F.array().cast("array<int>")))
+        judged.withColumn("n_words", n_words(w).cast("long"))
+        .withColumn("hits", F.when(F.size(exact) > 0, F.transform(hits, lambda p: p - lead)).otherwise(F.array().cast("array<int>")))
         .withColumn("items", ids)
         .withColumn("near_items", F.array_except(near, F.col("items")))
         .drop("_nl_text", "_nl_found", "_nl_words", "_nl_hits")
