@@ -39,7 +39,7 @@ SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Text bytes taken at once, and words kept from one batch to the next (twice at most).
-_SLICE, _KEEP = 1 << 20, 150_000
+_SLICE, _KEEP = 2 << 20, 400_000
 #: Cells (words times places times piece lengths) probed at once.
 _CELLS = 1 << 21
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -104,6 +104,8 @@ class Model:
         if odd:
             raise ValueError(f"pieces that cross words: {odd[:5]}")
         self.longest = max(map(len, self.ids))
+        #: Characters that some piece has side by side. Between others nothing is merged, so a text may be cut there.
+        self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.decoded = [b"" if t == CONTROL else bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() for p, t in zip(self.pieces, types)]
         self.decoded[self.unknown] = " ⁇ ".encode()
         # Sorted keys, and the characters that confirm them.
@@ -119,6 +121,8 @@ class Model:
         order = np.argsort(keys, kind="stable")
         self.keys, self.key_codes, self.key_lengths = keys[order], codes[order], lengths[order]
         self.key_ids = np.array([self.ids[names[i]] for i in order])
+        # Where each beginning of a key (its first 18 bits) starts among the sorted ones: most substrings meet none.
+        self.starts = np.searchsorted(self.keys >> np.uint64(46), np.arange((1 << 18) + 1, dtype=np.uint64)).astype(np.int32)
         self.lowest = min((s for s, t in zip(self.scores, types) if t == NORMAL), default=0.0) - 10.0
         self.piece_scores = np.array([*self.scores, self.lowest])
         if self.kind == "bpe":
@@ -227,18 +231,22 @@ class Model:
         ids = np.full((m, length + 1, min(self.longest, length)), -1, np.int32)
         for n in range(1, min(self.longest, length) + 1):
             h = _hashes(codes, n)
-            at = np.minimum(np.searchsorted(self.keys, h.ravel()), len(self.keys) - 1)
-            hit = np.flatnonzero((self.keys[at] == h.ravel()) & (self.key_lengths[at] == n))
-            w, s = np.divmod(hit, h.shape[1])
-            same = (codes[w[:, None], s[:, None] + np.arange(n)] == self.key_codes[at[hit], :n]).all(axis=1)
-            w, s, found = w[same], s[same], at[hit][same]
+            wide, h = h.shape[1], h.ravel()
+            top = (h >> np.uint64(46)).astype(np.int32)
+            some = np.flatnonzero(self.starts[top] < self.starts[top + 1])
+            at = np.minimum(np.searchsorted(self.keys, h[some]), len(self.keys) - 1)
+            hit = (self.keys[at] == h[some]) & (self.key_lengths[at] == n)
+            at = at[hit]
+            w, s = np.divmod(some[hit], wide)
+            same = (codes[w[:, None], s[:, None] + np.arange(n)] == self.key_codes[at, :n]).all(axis=1)
+            w, s, found = w[same], s[same], at[same]
             ids[w, s + n, n - 1] = self.key_ids[found]
         return ids
 
-    def search(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of one length; -1 stands for a character without a piece."""
+    def search(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of one length, one after the other, and where each word's end; -1 - i stands for a character without a piece that ends at place i."""
         length = len(words[0])
-        codes = np.array([[ord(c) for c in w] for w in words], np.uint32).reshape(len(words), length)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), length)
         ids = self.probe(codes)
         m, longest = len(words), ids.shape[2]
         none = len(self.pieces)
@@ -265,19 +273,21 @@ class Model:
                 score[ok[free], n - 1] = 0
             # A character without a piece borders on everything.
             score[lone, 0] = best[lone, i - 1] + (self.lowest if self.kind == "unigram" else 0)
-            n = np.argmax(score, axis=1)
+            n = reach - 1 - np.argmax(score[:, ::-1], axis=1)  # of equal sums, the longest last piece
             back[:, i] = n + 1
             best[:, i] = score[np.arange(m), n]
             last[:, i] = np.where(np.isfinite(best[:, i]), np.where(lone & (n == 0), none, here[np.arange(m), n]), -1)
-        out: list[list[int]] = [[] for _ in words]
-        at = np.full(m, length)
-        rows = np.arange(m)
+        # Back from the ends, all words at once; then the pieces on the paths in their order.
+        path = np.zeros((m, length + 1), bool)
+        rows, at = np.arange(m), np.full(m, length)
         while len(rows):
-            for r, p, a in zip(rows.tolist(), last[rows, at[rows]].tolist(), at[rows].tolist()):
-                out[r].append(p if p != none else -1 - a)
-            at[rows] -= back[rows, at[rows]]
-            rows = rows[at[rows] > 0]
-        return [o[::-1] for o in out]
+            path[rows, at] = True
+            at = at - back[rows, at]
+            rows, at = rows[at > 0], at[at > 0]
+        place = np.broadcast_to(np.arange(length + 1), path.shape)
+        ids = np.where(last == none, -1 - place, last)[path].astype(np.int32)
+        ends = np.cumsum(path.sum(axis=1))
+        return ids, ends
 
     def segment(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as 32-bit integers. Words without a run of spaces are searched together, by length."""
@@ -292,8 +302,12 @@ class Model:
             step = max(1, _CELLS // (length * min(length, self.longest)))
             for a in range(0, len(members), step):
                 part = members[a : a + step]
-                for k, ids in zip(part, self.search([words[k] for k in part])):
-                    out[k] = self._bytes(ids, words[k])
+                ids, ends = self.search([words[k] for k in part])
+                lone = set(np.searchsorted(ends, np.flatnonzero(ids < 0), side="right").tolist())
+                raw, begin = ids.tobytes(), 0
+                for j, (k, end) in enumerate(zip(part, ends.tolist())):
+                    out[k] = self._bytes(ids[begin:end].tolist(), words[k]) if j in lone else raw[4 * begin : 4 * end]
+                    begin = end
         return out
 
     def _bytes(self, ids: list[int], word: str) -> bytes:
@@ -384,11 +398,20 @@ class Cache:
             else:
                 self.new[w] = found
         newline = model._bytes([-2], "\n")
-        plain = []
+        # A word is cut before its closing punctuation where nothing is merged; what is left is often known.
+        heads: dict[str, str] = {}
         for w in missing:
-            plain.append(w.lstrip("\n") if w[:1] == "\n" else w if w[:1] == SPACE else SPACE + w)
-        for w, ids in zip(missing, model.segment(plain)):
+            head = w.rstrip(".,;:!?)")
+            if len(head) > 1 and len(head) < len(w) and w[len(head) - 1 : len(head) + 1] not in model.joined and head[0] not in SPACE + "\n":
+                heads[w] = head
+        tails = {"\n\n" + w[len(h) :] for w, h in heads.items()}
+        more = [w for w in {*heads.values(), *tails}.difference(self.new, missing)]
+        plain = [w for w in missing if w not in heads] + more
+        texts = [w.lstrip("\n") if w[:1] == "\n" else w if w[:1] == SPACE else SPACE + w for w in plain]
+        for w, ids in zip(plain, model.segment(texts)):
             self.new[w] = newline + ids if w[:1] == "\n" and w[:2] != "\n\n" else ids
+        for w, h in heads.items():
+            self.new[w] = self.new[h] + self.new["\n\n" + w[len(h) :]]
 
 
 @lru_cache(maxsize=2)
