@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, decontamination, media, secrets, sentencepiece, tokencounts, toxicity, urls, warc
+from newsloom.llm import chat, decontamination, jaccard, media, secrets, sentencepiece, tokencounts, toxicity, urls, warc
 
 #: The folder of the tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
@@ -119,3 +119,8 @@ def op6(spark, sf_dir):
 def op7(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     return tokencounts.rollup_of(docs, "byte_bpe_50k", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+@query("op9_jaccard_join")
+def op9(spark, sf_dir):
+    return jaccard.similar(_table(spark, sf_dir, "documents").select("doc_id", "text"))
