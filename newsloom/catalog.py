@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 
-from newsloom.plans import functions, intelligence, lifecycle, novelty, structure, text  # noqa: E402, F401
+from newsloom.plans import extra, functions, intelligence, lifecycle, novelty, structure, text  # noqa: E402, F401

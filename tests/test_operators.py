@@ -136,3 +136,22 @@ def test_resolution_and_matching(spark):
     assert [tuple(r) for r in resolution.acronyms(names).collect()] == [("BBS", "big blue sea")]
     pairs = spark.createDataFrame([(1, 1, 1, 0.9), (1, 2, 1, 0.95), (1, 2, 2, 0.6)], "p int, gold int, found int, score double")
     assert sorted((r.gold, r.found) for r in evaluation.match_greedily(pairs, ["p"]).collect()) == [(1, 1), (2, 2)]
+
+
+def test_runs():
+    import datetime
+
+    import pytest
+
+    from newsloom.operators import runs
+
+    t = datetime.datetime(2024, 1, 1)
+    every, a = runs.acquire([], "a", "c1", t)
+    assert runs.acquire(every, "b", "c1", t)[1] == a
+    with pytest.raises(RuntimeError, match="configuration"):
+        runs.acquire(every, "b", "c2", t)
+    later, b = runs.acquire(every, "b", "c2", t + datetime.timedelta(days=2))
+    assert [r.status for r in later] == ["failed", "running"] and b.run_id == "b"
+    done = runs.finish(later, "b", "completed")
+    with pytest.raises(RuntimeError, match="ended"):
+        runs.acquire(done, "b", "c2", t)
