@@ -3,17 +3,17 @@
 Tokens are 64-bit hashes of 3-word shingles; a document is the set of its tokens, and documents with equal sets are one
 set with a weight. Two sets are linked if 100 * |x & y| >= 70 * |x | y|.
 
-1. *Classes.* Token frequencies are counted over all texts: each partition counts its own tokens exactly and reports those it
-   has twice or more, so a sum is short by one a partition at most. Tokens beyond a frequency that grows with the
-   corpus, so that there can't be more than ``MAX_FREQUENT`` of them, are the frequent class; all others are rare.
-2. *Prefixes.* The order of tokens is rare ones by hash, then frequent ones by hash. If x is linked to anything, it
-   misses tau = |x| - ceil(0.7 |x|) of its tokens at most. A rare token is a signature by itself. Frequent tokens fall
-   into sub-classes by hash, and a signature is a pair of tokens of one sub-class; a sub-class with n tokens in the
-   prefix survives n - 2 losses. The prefix is extended until rare tokens plus the sum of n - 1 over sub-classes reach
-   tau + 1: then two linked sets share a signature. How many sub-classes there are depends on the size of the sets, so frequent
-   pairs are made for each size band that a partner may be in.
-3. *Blocks.* Sets that share signatures get a common label, and sets of one label share a block of at most about ``BLOCK`` sets and
-   ``BLOCK_TOKENS`` tokens; more of them are spread over several blocks. Two blocks that share a signature are a tile. No
+1. *Prefixes.* Tokens have one order: by the commonness of their rarest word, counted over all texts by bucket, then by
+   hash; tokens with a rare word are hardly shared by chance. A set x that is linked to anything misses
+   tau = |x| - ceil(0.7 |x|) of its tokens at most, so the first tau + 1 of two linked sets have a token in common, and
+   prefixes that are extended by d tokens have 1 + d in common. d is a tenth of the set's size, 2 at least. Tokens that no other prefix has, then
+   sets with too few tokens left for any partner, are dropped: exactly, as counts of both are known.
+2. *Classes.* A token that ``RARE`` prefixes or fewer have is rare, and a signature by itself; others are frequent, fall
+   into sub-classes by hash, and each pair of a sub-class is a signature. There are half as many sub-classes as
+   common tokens are sure, so two linked sets share a rare token or a pair, and more than one of them. How many are sure depends on the sizes,
+   so pairs are made for each size band that a partner may be in.
+3. *Blocks.* A set's label is the set that is the least of most of its signatures' lists, if of as many as linked sets share, else itself.
+   Sets of one label share a block of at most about ``BLOCK`` sets and ``BLOCK_TOKENS`` tokens; more of them are spread over several blocks. Two blocks that share as many signatures as linked sets must are a tile. No
    pairs of documents are listed.
 4. *Verification.* A tile gets the whole sets of its two blocks and counts all overlaps exactly. It returns, for each set, the weight of its links
    and the least set it is connected to within the tile.
@@ -27,6 +27,7 @@ rows. Extra columns are ignored. A set is known by two 64-bit hashes of its toke
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -41,9 +42,10 @@ from newsloom.llm.shared import small, written
 #: Links need this share, in percent, of the union.
 PERCENT = 70
 WORDS = 3
-#: Tokens in the frequent class at most: the least frequency is the number of all tokens divided by this, and 64 at least.
-MAX_FREQUENT = 1 << 20
-LEAST_FREQUENT = 64
+#: Words are counted in so many buckets by hash, as a power of two: one byte each is sent to the executors.
+BUCKET_BITS = 23
+#: Tokens of more prefixes are of the frequent class.
+RARE = 256
 BLOCK, BLOCK_TOKENS = 256, 400_000
 #: Edges between sets that one task contracts by union-find (16 bytes each); more are contracted in rounds.
 LOCAL_EDGES = 4_000_000
@@ -60,31 +62,48 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def token_sets(texts: list[str | None], cache: dict[bytes, int], words: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct tokens of each text. Words are what ASCII white space parts, A-Z lowered; cache: words' hashes, bounded here."""
-    split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
+class Words(dict):
+    """Hashes of words, made when they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def word_hashes(texts: list[str | None], cache: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words one after the other, and each text's number. Words are what ASCII white space parts, A-Z lowered; the cache is bounded here."""
     if len(cache) > 300_000:
         cache.clear()
-    for ws in split:
-        for w in set(ws).difference(cache):
-            cache[w] = xxhash.xxh3_64_intdigest(w)
-    get = cache.__getitem__
-    counts = np.array([len(ws) for ws in split])
-    flat = np.fromiter((h for ws in split for h in map(get, ws)), np.uint64, int(counts.sum()))
+    split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
+    counts = np.array([len(ws) for ws in split], np.int64)
+    return np.fromiter(map(cache.__getitem__, itertools.chain.from_iterable(split)), np.uint64, int(counts.sum())), counts
+
+
+def token_sets(flat: np.ndarray, counts: np.ndarray, common: np.ndarray | None = None, words: int = WORDS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The sorted distinct tokens of each text, and how common the rarest word of each is by the table of buckets."""
     out = []
     at = 0
+    none = np.zeros(0, np.uint8)
+    level = common[flat >> np.uint64(64 - BUCKET_BITS)] if common is not None else none
     with np.errstate(over="ignore"):
         for n in counts.tolist():
-            h = flat[at : at + n]
+            h, c = flat[at : at + n], level[at : at + n]
             at += n
             if n == 0:
-                out.append(np.zeros(0, np.uint64))
+                out.append((np.zeros(0, np.uint64), none))
                 continue
             k = min(n, words)
             token = np.full(n - k + 1, np.uint64(k))
             for i in range(k):
                 token = _mix(token * _M1 + h[i : n - k + 1 + i] * _M2 + _M3)
-            out.append(np.unique(token))
+            if common is None:
+                out.append((np.unique(token), none))
+                continue
+            token, first = np.unique(token, return_index=True)
+            rarest = c[: n - k + 1]
+            for i in range(1, k):
+                rarest = np.minimum(rarest, c[i : n - k + 1 + i])
+            out.append((token, rarest[first]))
     return out
 
 
@@ -108,49 +127,45 @@ def bands(n: int, percent: int = PERCENT) -> range:
     return range(low.bit_length(), high.bit_length() + 1)
 
 
+def extra(n: int) -> int:
+    """By how many tokens a prefix is extended."""
+    return max(2, -(-n // 10))
+
+
+def sure(n: int, percent: int = PERCENT) -> int:
+    """By how many tokens the prefix of a partner of a set of n tokens is extended, at least: 1 more are common."""
+    return extra(-(-n * percent // 100))
+
+
 def sub_classes(band: int) -> int:
-    """So many that a linked set has some 16 to 32 tokens in each."""
-    return 1 << max(0, band - 5)
+    """Half as many as the common tokens that are sure for sizes of the band."""
+    return max(1, sure(1 << max(0, band - 1)) // 2)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Signatures of a set: hashes of rare tokens of its prefix, and of pairs of frequent ones. frequent: sorted."""
+def prefix(tokens: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The tokens of a set's prefix. tokens: sorted; common: how common each one's rarest word is."""
     n = len(tokens)
-    need = loss(n, percent) + 1
     if n < 3:
         # Only an equal set is linked, and equal sets are one.
-        return np.zeros(0, np.uint64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        often = frequent[at] == tokens
-    else:
-        often = np.zeros(n, bool)
-    rare = tokens[~often][:need]
-    if len(rare) == need:
-        return rare
-    common = tokens[often]
-    out = [rare]
+        return tokens[:0]
+    return tokens[np.argsort(common, kind="stable")[: loss(n, percent) + 1 + extra(n)]]
+
+
+def combinations(tokens: np.ndarray, band: int) -> np.ndarray:
+    """Signatures of the pairs of frequent tokens of one sub-class, in a size band."""
+    out = [np.zeros(0, np.uint64)]
     with np.errstate(over="ignore"):
-        for band in bands(n, percent):
-            classes = _mix(common * _M3) % np.uint64(sub_classes(band))
-            # The prefix ends where the tokens that aren't the first of their sub-class are enough.
-            _, first = np.unique(classes, return_index=True)
-            later = np.ones(len(common), bool)
-            later[first] = False
-            end = int(np.searchsorted(np.cumsum(later), need - len(rare))) + 1
-            if later.sum() < need - len(rare):
-                raise AssertionError("a prefix can't be long enough")
-            part, kind = common[:end], classes[:end]
-            order = np.argsort(kind, kind="stable")
-            part, kind = part[order], kind[order]
-            _, starts, sizes = np.unique(kind, return_index=True, return_counts=True)
-            for size in np.unique(sizes):
-                i, j = np.triu_indices(int(size), 1)
-                members = part[starts[sizes == size][:, None] + np.arange(size)]
-                a, b = members[:, i].ravel(), members[:, j].ravel()
-                low, high = np.minimum(a, b), np.maximum(a, b)
-                out.append(_mix(_mix(low + np.uint64(band)) * _M1 + high * _M2))
-    return np.unique(np.concatenate(out))
+        kind = _mix(tokens * _M3) % np.uint64(sub_classes(band))
+        order = np.argsort(kind, kind="stable")
+        part = tokens[order]
+        _, starts, sizes = np.unique(kind[order], return_index=True, return_counts=True)
+        for size in np.unique(sizes[sizes > 1]):
+            i, j = np.triu_indices(int(size), 1)
+            members = part[starts[sizes == size][:, None] + np.arange(size)]
+            a, b = members[:, i].ravel(), members[:, j].ravel()
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            out.append(_mix(_mix(low + np.uint64(band)) * _M1 + high * _M2))
+    return np.concatenate(out)
 
 
 # --- scans -----------------------------------------------------------------------------------------------------
@@ -174,75 +189,99 @@ def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _survey(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """kind 0: key, place, n, h1, h2 of each row. kind 1: h1 is a token, n how often the distinct sets of a part of the partition have it, from 2 on."""
+    """kind 0: key, place, n, h1, h2 of each row. kind 1: how often (n) the distinct sets of a part of a partition have words of the bucket h1, from 2 on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
+        cache = Words()
         seen: set[int] = set()
-        once: list[np.ndarray] = []
-        held = 0
+        held: list[np.ndarray] = []
+        size = 0
         names = ["kind", "key", "place", "n", "h1", "h2"]
 
-        def counted() -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(once), return_counts=True) if once else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            keep = counts > 1
-            m = int(keep.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(counts[keep].astype(np.int64)), pa.array(tokens[keep].view(np.int64)), pa.nulls(m, pa.int64())], names)
+        def counted() -> Iterator[pa.RecordBatch]:
+            if held:
+                values, n = np.unique(np.concatenate(held), return_counts=True)
+                values, n = values[n > 1], n[n > 1]
+                m = len(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), *[pa.nulls(m, pa.int64())] * 2, pa.array(n.astype(np.int64)), pa.array(values.astype(np.int64)), pa.nulls(m, pa.int64())], names)
+                held.clear()
 
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in _slices(texts):
-                sets = token_sets(texts[a:b], cache)
+                flat, counts = word_hashes(texts[a:b], cache)
+                sets = [s for s, _ in token_sets(flat, counts)]
                 ids = [set_ids(s) for s in sets]
-                for s, (h, _) in zip(sets, ids):
+                buckets = (flat >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32)
+                for (h, _), end, n in zip(ids, np.cumsum(counts).tolist(), counts.tolist()):
                     if h not in seen:
                         seen.add(h)
-                        once.append(s)
-                        held += len(s)
+                        held.append(buckets[end - n : end])
+                        size += n
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int8)), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([i[0] for i in ids], pa.int64()), pa.array([i[1] for i in ids], pa.int64())], names)
                 # Counts of large partitions come in parts of bounded size.
-                if held > 4_000_000:
-                    yield counted()
-                    once, held = [], 0
-        yield counted()
+                if size > 8_000_000:
+                    yield from counted()
+                    size = 0
+        yield from counted()
 
     return _named(docs, key, text).mapInArrow(run, "kind tinyint, key bigint, place bigint, n bigint, h1 bigint, h2 bigint")
 
 
-def _sign(docs: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
-    """sig, set: signatures of the distinct sets of each partition."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MAX_FREQUENT tokens
+def _prefixes(docs: DataFrame, text: str, common: np.ndarray) -> DataFrame:
+    """sig (a token), set of the prefixes of the distinct sets of each partition."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # a byte a bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
+        cache = Words()
         seen: set[int] = set()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in _slices(texts):
-                sigs, ids = [np.zeros(0, np.uint64)], []
-                for s in token_sets(texts[a:b], cache):
+                parts, ids = [np.zeros(0, np.uint64)], []
+                for s, c in token_sets(*word_hashes(texts[a:b], cache), shared.value):
                     h = set_ids(s)[0]
                     if h not in seen:
                         seen.add(h)
-                        sigs.append(signatures(s, shared.value))
+                        parts.append(prefix(s, c))
                         ids.append(h)
-                flat = np.concatenate(sigs).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(ids, np.int64), [len(s) for s in sigs[1:]]))], ["sig", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), [len(p) for p in parts[1:]]))], ["sig", "set"])
 
     return docs.select(F.col(text).cast("string").alias("_t")).mapInArrow(run, "sig bigint, set bigint")
 
 
+def _combined(frequent: DataFrame) -> DataFrame:
+    """sig, set: pairs of the frequent tokens (sig, set, n) of each set, in each of its bands. A set's tokens are those of one prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                made = [np.concatenate([combinations(np.asarray(t.values).view(np.uint64), band) for band in bands(n)]) for n, t in zip(part.column(1).to_pylist(), part.column(2))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), [len(m) for m in made]))], ["sig", "set"])
+
+    tokens = frequent.groupBy("set").agg(F.min("n").alias("n"), F.collect_list("sig").alias("tokens")).filter(F.size("tokens") > 1)
+    return tokens.mapInArrow(run, "sig bigint, set bigint")
+
+
+def _met(signed: DataFrame) -> DataFrame:
+    """Rows (sig, set, ...) of signatures that several sets have, with the least set (low). One shuffle by signature serves both sides."""
+    signed = signed.repartition("sig")
+    lists = signed.groupBy("sig").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high")
+    return signed.join(lists.select("sig", "low"), "sig")
+
+
 def _whole(chosen: DataFrame) -> DataFrame:
     """chosen: set, weight, block, _t. Gives set, weight, block, tokens (binary): once a partition, and only where the text has that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
+        cache = Words()
         seen: set[int] = set()
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(3).to_pylist()
             for a, b in _slices(texts):
                 rows, tokens = [], []
-                for i, s in zip(range(a, b), token_sets(texts[a:b], cache)):
+                for i, (s, _) in zip(range(a, b), token_sets(*word_hashes(texts[a:b], cache))):
                     if names[i] not in seen and set_ids(s)[0] == names[i]:
                         seen.add(names[i])
                         rows.append(i)
@@ -307,16 +346,34 @@ def _tile(ids: list[int], block: list[int], weights: list[int], sets: list[np.nd
 
 
 def _verify(tiled: DataFrame) -> DataFrame:
-    """tiled: tile, block, set, weight, tokens. Gives set, links, least."""
+    """tiled: tile, block, set, weight, tokens. Gives set, links, least. Tiles are streamed in their order; one is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, out = None, {}, []
 
-    def run(table: pa.Table) -> pa.Table:
-        # Rows that repeat a document may bring a set more than once.
-        rows = {r[0]: r for r in zip(*(table[c].to_pylist() for c in ("set", "block", "weight", "tokens")))}
-        ids, block, weights, raw = map(list, zip(*(rows[k] for k in sorted(rows))))
-        got = _tile(ids, block, weights, [np.frombuffer(r, np.uint64) for r in raw])
-        return pa.table({"set": pa.array([g[0] for g in got], pa.int64()), "links": pa.array([g[1] for g in got], pa.int64()), "least": pa.array([g[2] for g in got], pa.int64())})
+        def close() -> None:
+            if len(rows) > 1:
+                ids, block, weights, raw = map(list, zip(*(rows[k] for k in sorted(rows))))
+                out.extend(_tile(ids, block, weights, [np.frombuffer(r, np.uint64) for r in raw]))
 
-    return tiled.groupBy("tile").applyInArrow(run, "set bigint, links bigint, least bigint")
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([g[k] for g in out], pa.int64()) for k in range(3)], ["set", "links", "least"])
+
+        for batch in batches:
+            for tile, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if tile != now:
+                    close()
+                    now, rows = tile, {}
+                # Rows that repeat a document may bring a set more than once.
+                rows[row[0]] = row
+            if len(out) > 10_000:
+                yield done()
+                out.clear()
+        close()
+        yield done()
+
+    ordered = tiled.select("tile", "set", "block", "weight", "tokens").repartition("tile").sortWithinPartitions("tile")
+    return ordered.mapInArrow(run, "set bigint, links bigint, least bigint")
 
 
 # --- components ------------------------------------------------------------------------------------------------
@@ -370,34 +427,47 @@ def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     """key, n_shingles, n_similar (other documents linked directly), component_id (least key reachable): one row for each row."""
     survey = written(_survey(docs, key, text), "survey", by=("kind",))
     rows = survey.filter("kind = 0").select("key", "place", "n", F.col("h1").alias("set"), F.col("h2").alias("check"))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST_FREQUENT, -(-total // MAX_FREQUENT))
-    counts = survey.filter("kind = 1").groupBy("h1").agg(F.sum("n").alias("n")).filter(F.col("n") > least)
-    frequent = np.sort(counts.select("h1").toPandas()["h1"].to_numpy(np.int64).view(np.uint64))  # MAX_FREQUENT at most
+    # How common a bucket's words are, by powers of two; the buckets are bounded, so they may come to the driver.
+    words = survey.filter("kind = 1").groupBy(F.col("h1").cast("int").alias("bucket")).agg(F.floor(F.log2(F.sum("n")) + 1).cast("byte").alias("level")).toPandas()
+    common = np.zeros(1 << BUCKET_BITS, np.uint8)
+    common[words["bucket"].to_numpy()] = words["level"].to_numpy()
 
     sets = rows.filter("n > 0").groupBy("set", "check").agg(F.min("key").alias("key"), F.min("place").alias("place"), F.count("*").alias("weight"), F.max("n").alias("n"))
 
-    # Signatures that several sets have: the others are dropped before anything is joined.
-    signed = _sign(docs, text, frequent).repartition("sig")
-    lists = signed.groupBy("sig").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high")
-    shared = written(signed.join(lists.select("sig", "low"), "sig").select("sig", "set", "low"), "shared")
+    # Tokens that several prefixes have, of sets that have enough of them for a partner.
+    met = written(_met(_prefixes(docs, text, common)).select("sig", "set").distinct(), "met")
+    known = F.greatest(F.lit(2), F.expr(f"((n * {PERCENT} + 99) div 100 + 9) div 10"))  # sure(n)
+    need = 1 + F.ceil(known / 2)  # signatures that linked sets share at least
+    enough = written(met.groupBy("set").agg(F.count("*").alias("m")).join(sets.select("set", "n"), "set").filter(F.col("m") > known).select("set", "n"), "enough")
+    tokens = written(met.join(small(enough, 24), "set"), "tokens")
+    often = tokens.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1")
+    classed = tokens.join(often, "sig")
+    rare = classed.filter(F.col("c") <= RARE).select("sig", "set")
+    shared = written(_met(rare.unionByName(_combined(classed.filter(F.col("c") > RARE)))).select("sig", "set", "low"), "shared")
 
     # A label for each set, and blocks of bounded size by label.
-    labels = shared.groupBy("set").agg(F.min("low").alias("label"))
+    votes = shared.groupBy("set", "low").agg(F.count("*").alias("c")).groupBy("set").agg(F.max_by(F.struct("low", "c"), F.struct("c", -F.col("low"))).alias("v"))
+    first = votes.join(enough, "set").select("set", F.when(F.col("v.c") >= need, F.col("v.low")).otherwise(F.col("set")).alias("label"))
+    first = written(first, "first-labels")
+    up = first.select(F.col("set").alias("label"), F.col("label").alias("up"))
+    labels = first.join(up, "label", "left").select("set", F.coalesce("up", "label").alias("label"))
     labelled = written(labels.join(sets, "set"), "labelled")
     size = labelled.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("t")).select("label", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("t") / BLOCK_TOKENS)).alias("parts"))
-    groups = max(1, (labelled.agg(F.sum("n")).first()[0] or 0) // BLOCK_TOKENS + labelled.count() // BLOCK)
-    # Labels of few sets are put together; they need one block between them.
-    block = F.when(F.col("parts") > 1, F.xxhash64("label", F.pmod(F.xxhash64("set"), F.col("parts")))).otherwise(F.pmod(F.xxhash64("label"), F.lit(groups)))
+    block = F.xxhash64("label", F.pmod(F.xxhash64("set"), F.col("parts")))
     blocks = written(labelled.join(size, "label").select("set", "place", "weight", "n", block.alias("block")), "blocks")
 
+
     # Tiles: each block by itself, and two that share a signature.
     thin = small(blocks.select("set", "block"), 16)
     across = shared.join(thin, "set").select("sig", "block").distinct()
     several = across.groupBy("sig").agg(F.min("block").alias("a"), F.max("block").alias("b")).filter("a < b").select("sig")
     across = written(across.join(several, "sig"), "across")
-    tiles = across.alias("x").join(across.alias("y"), "sig").filter("x.block < y.block").select(F.col("x.block").alias("a"), F.col("y.block").alias("b")).distinct()
-    tiles = written(tiles.unionByName(blocks.select(F.col("block").alias("a"), F.col("block").alias("b")).distinct()), "tiles")
+    pairs = across.alias("x").join(across.alias("y"), "sig").filter("x.block < y.block").groupBy(F.col("x.block").alias("a"), F.col("y.block").alias("b")).agg(F.count("*").alias("c"))
+    about = blocks.groupBy("block").agg(F.min(need).alias("need"), F.min("n").alias("low"), F.max("n").alias("high"))
+    side = lambda x: about.select(F.col("block").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("need", "low", "high")))
+    fits = (F.col("c") >= F.greatest("need_a", "need_b")) & (100 * F.col("high_a") >= PERCENT * F.col("low_b")) & (100 * F.col("high_b") >= PERCENT * F.col("low_a"))
+    tiles = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits).select("a", "b")
+    tiles = written(tiles.unionByName(blocks.groupBy(F.col("block").alias("a")).agg(F.count("*").alias("c")).filter("c > 1").select("a", F.col("a").alias("b"))), "tiles")
     part = tiles.select(F.xxhash64("a", "b").alias("tile"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
 
     # Whole sets of the candidates only, made anew from their texts.

@@ -67,11 +67,10 @@ def test_against_all_pairs(spark):
     assert sum(x[2] > 0 for x in want) > 40
 
 
-def test_frequent_classes_and_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jc, "LEAST_FREQUENT", 2)
+def test_many_blocks_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(jc, "BLOCK", 4)
+    monkeypatch.setattr(jc, "RARE", 2)
     monkeypatch.setattr(jc, "small", lambda x, row_bytes: x)
-    monkeypatch.setattr(jc, "LOCAL_EDGES", -1)
     monkeypatch.setattr(jc.components, "__defaults__", (-1,))
     rows = corpus(2, 90)
     assert got(spark, rows) == brute(rows)
@@ -84,17 +83,22 @@ def test_linked_sets_share_a_signature(seed):
     for _ in range(150):
         n = int(rng.integers(3, 400))
         x = np.unique(rng.choice(pool, n, replace=False))
-        frequent = np.sort(rng.choice(x, int(len(x) * rng.random()), replace=False))
-        frequent = np.unique(np.concatenate([frequent, rng.choice(pool, 500)]))
+        level = lambda t: (t >> np.uint64(9)) % np.uint64(12)
         lose = int(rng.integers(0, jc.loss(n) + 1))
         y = rng.permutation(x)[lose:]
         both = len(y)
         more = int(rng.integers(0, max(1, both * 100 // 70 - n + 1)))
         y = np.unique(np.concatenate([y, rng.choice(np.setdiff1d(pool, x), more, replace=False)]))
-        if 100 * both >= 70 * (n + more):
-            a, b = jc.signatures(x, frequent), jc.signatures(y, frequent)
-            assert len(np.intersect1d(a, b)) or np.array_equal(x, y), (n, lose, more)
-            assert len(a) < 8 * n + 20
+        if 100 * both >= 70 * (n + more) and not np.array_equal(x, y):
+            a, b = jc.prefix(x, level(x)), jc.prefix(y, level(y))
+            met = np.intersect1d(a, b)
+            assert len(met) > max(jc.sure(len(x)), jc.sure(len(y)))
+            often = rng.random(len(met)) < rng.random()
+            common = set(jc.bands(len(x))) & set(jc.bands(len(y)))
+            assert len(x).bit_length() in common and len(y).bit_length() in common
+            for band in {len(x).bit_length(), len(y).bit_length()}:
+                shared = (~often).sum() + len(np.unique(jc.combinations(met[often], band)))
+                assert shared >= 1 + -(-max(jc.sure(len(x)), jc.sure(len(y))) // 2), (n, lose, more)
 
 
 def test_repeated_and_null_ids(spark):
