@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from newsloom.catalog import query, table
 from newsloom.functions import udfs
-from newsloom.operators import resolution
+from newsloom.functions.text import acronym
+from newsloom.operators import extraction, resolution
 from newsloom.streaming import alerts
 
 
@@ -38,11 +39,9 @@ def fuzzy_names(spark, sf_dir):
     return resolution.fuzzy_clusters(rows, "kind", "name", 0.9)
 
 
-@query("acronym_merge", "WITH n AS (SELECT DISTINCT p_type AS name FROM part), s AS (SELECT name, upper(array_to_string(list_transform(list_filter(string_split(name, ' '), lambda w: w <> ''), lambda w: w[1]), '')) AS acronym FROM n WHERE contains(name, ' ')) SELECT acronym, min(name) AS name FROM s GROUP BY 1")
+@query("acronym_merge", "WITH n AS (SELECT DISTINCT p_name AS name FROM part), s AS (SELECT name, upper(array_to_string(list_transform(list_filter(string_split(name, ' '), lambda w: w <> ''), lambda w: w[1]), '')) AS acronym FROM n WHERE contains(name, ' ')) SELECT acronym, min(name) AS name FROM s GROUP BY 1")
 def acronym_merge(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.col("p_type").alias("name")).distinct()
-    from newsloom.functions.text import acronym
-
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
     return resolution.acronyms(names.unionByName(names.filter("name LIKE '% %'").select(acronym(F.col("name")).alias("name"))))
 
 
@@ -54,3 +53,17 @@ def stream_digest(spark, sf_dir):
     run = rows.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select(F.to_date("window.start").alias("day"), "event_type", "items", "total")
+
+
+@query("hashed_embeddings")
+def hashed_embeddings(spark, sf_dir):
+    return extraction.embed(table(spark, sf_dir, "benchmark"), "item_id", "text", 64)
+
+
+@query(
+    "pattern_statements",
+    r"""SELECT doc_id, len(regexp_extract_all(text, '[^.!?\n]+[.!?]'))::BIGINT AS statements FROM documents WHERE len(regexp_extract_all(text, '[^.!?\n]+[.!?]')) > 0""".replace("\\n", "\n"),
+)
+def pattern_statements(spark, sf_dir):
+    found = extraction.extract(table(spark, sf_dir, "documents"), "doc_id", "text", extraction.sentences)
+    return found.groupBy("doc_id").agg(F.count("*").alias("statements"))

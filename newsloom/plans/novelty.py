@@ -112,10 +112,10 @@ _SHINGLES = "list_distinct(list_transform(range(1, greatest(length(t) - 1, 2)),
     "shingle_jaccard",
     f"""WITH d AS (SELECT item_id, lower(text) AS t FROM benchmark), s AS (SELECT item_id, {_SHINGLES} AS g FROM d), u AS (SELECT item_id, unnest(g) AS x FROM s), n AS (SELECT item_id, len(g) AS n FROM s),
     c AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS k FROM u a JOIN u b ON a.x = b.x AND a.item_id < b.item_id GROUP BY ALL)
-    SELECT a, b, k AS common, round(k / (x.n + y.n - k), 6) AS jaccard FROM c JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b WHERE k / (x.n + y.n - k) >= 0.35""",
+    SELECT a, b, k AS common, round(k / (x.n + y.n - k), 6) AS jaccard FROM c JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b WHERE k / (x.n + y.n - k) >= 0.25""",
 )
 def shingle_jaccard(spark, sf_dir):
-    return novelty.shingle_pairs(table(spark, sf_dir, "benchmark"), "item_id", "text", 0.35)
+    return novelty.shingle_pairs(table(spark, sf_dir, "benchmark"), "item_id", "text", 0.25)
 
 
 @query(

@@ -155,3 +155,16 @@ def test_runs():
     done = runs.finish(later, "b", "completed")
     with pytest.raises(RuntimeError, match="ended"):
         runs.acquire(done, "b", "c2", t)
+
+
+def test_extraction(spark):
+    import pytest
+
+    from newsloom.operators import extraction
+
+    df = spark.createDataFrame([(1, "One. Two! three"), (2, None), (3, "")], "k int, t string")
+    assert sorted(map(tuple, extraction.extract(df, "k", "t", extraction.sentences).collect())) == [(1, 0, "One."), (1, 1, "Two!")]
+    got = {r.k: r.embedding for r in extraction.embed(df, "k", "t", 8).collect()}
+    assert abs(sum(x * x for x in got[1]) - 1) < 1e-6 and got[2] == got[3] == [0.0] * 8
+    with pytest.raises(Exception, match="fit"):
+        extraction.embed(df, "k", "t", 8, lambda texts, n: [[0.0]] * len(texts)).collect()
