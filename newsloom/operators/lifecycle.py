@@ -48,6 +48,13 @@ def missing_references(df: DataFrame, column: str, target: DataFrame, target_col
     return df.filter(F.col(column).isNotNull()).join(target.select(F.col(target_column).alias(column)).distinct(), column, "left_anti")
 
 
+def reference_counts(df: DataFrame, column: str, target: DataFrame, target_column: str) -> DataFrame:
+    """violations, total: how many rows refer to nothing, of how many, in one pass; null references aren't errors."""
+    known = target.select(F.col(target_column).alias("_k")).distinct().withColumn("_ok", F.lit(True))
+    met = df.select(F.col(column).alias("_k")).join(known, "_k", "left")
+    return met.agg(F.count_if(F.col("_ok").isNull() & F.col("_k").isNotNull()).alias("violations"), F.count("*").alias("total"))
+
+
 def keep_largest(df: DataFrame, keys: list[str], size: str, order: str) -> DataFrame:
     """Of each duplicate group the largest row, the first by order of equal ones; as an aggregate, without a sort."""
     best = df.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), F.struct(F.col(size), -F.col(order))).alias("_b"))

@@ -17,10 +17,10 @@ def bm25(df: DataFrame, key: str, text: str, queries: DataFrame, *, k1: float =
     """query, key, score of documents that hold a query's terms. queries: query, term. Only the queries' terms are kept before anything is shuffled."""
     wanted = queries.select("term").distinct()
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}0-9]+"), F.lit(0))
-    size = df.agg(F.count("*").alias("docs"), F.avg(F.size(words)).alias("mean"))
+    docs, mean = df.agg(F.count("*"), F.avg(F.size(words))).first()
     rows = df.select(key, F.size(words).alias("n"), F.explode(words).alias("term")).join(wanted, "term").groupBy("term", key, "n").agg(F.count("*").alias("tf"))
     df_ = rows.groupBy("term").agg(F.count("*").alias("df"))
-    scored = rows.join(df_, "term").join(queries, "term").crossJoin(size)  # one row
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+    scored = rows.join(df_, "term").join(queries, "term")
+    idf = F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.lit(mean or 1.0)))
     return scored.groupBy("query", key).agg(F.sum(part).alias("score"))
