@@ -51,6 +51,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value made once: a plan may put an expression in every place where its column is used, a lambda's variable stays one."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def item_table(items: DataFrame, *, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """_item, _id, _words (A-Z lowered): one row for each distinct item with words."""
     rows = items.select(F.col(item_id).cast("string").alias("_id"), F.filter(F.transform(pieces(F.col(text)), ascii_lower), lambda w: w != "").alias("_words"))
@@ -108,36 +113,43 @@ def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SL
     found = written(found, "candidates")
 
     base = docs.withColumn("_nl_text", F.xxhash64(F.col(text).cast("string")))
-    rows = base.join(small(found, 2000), "_nl_text", "left").withColumn("_nl_words", pieces(F.col(text)))
-    w = F.col("_nl_words")
+    rows = base.join(small(found, 2000), "_nl_text", "left")
 
-    def aligned(item: Column):
-        """On each diagonal, one character for each word of the item: whether the text has it there."""
+    def aligned(w: Column, item: Column):
+        """On each diagonal of the text's words w, one character for each word of the item: whether the text has it there."""
         n = F.size(item["_words"])
         width = F.least(n, F.lit(window))
 
         def on(d: Column) -> Column:
             same = F.array_join(F.transform(item["_words"], lambda x, i: F.when(ascii_lower(F.get(w, d + i)) == x, F.lit("1")).otherwise(F.lit("0"))), "")
             run = F.repeat(F.lit("1"), width)
-            # A run within width - 1 places on either side covers the place.
-            held = lambda i: F.instr(F.substring(same, F.greatest(i - width + 2, F.lit(1)), F.least(i, width - 1) + width), run) > 0
-            return F.when(F.instr(same, run) > 0, F.transform(F.filter(F.sequence(F.lit(0), n - 1), held), lambda i: d + i)).otherwise(F.array().cast("array<int>"))
+
+            def places(s: Column) -> Column:
+                # A run within width - 1 places on either side covers the place.
+                held = lambda i: F.instr(F.substring(s, F.greatest(i - width + 2, F.lit(1)), F.least(i, width - 1) + width), run) > 0
+                return F.when(F.instr(s, run) > 0, F.transform(F.filter(F.sequence(F.lit(0), n - 1), held), lambda i: d + i)).otherwise(F.array().cast("array<int>"))
+
+            return _bound(same, places)
 
         return F.struct(item["_id"].alias("id"), item["_near"].alias("near"), F.flatten(F.transform(item["_exact"], on)).alias("at"))
 
-    judged = rows.withColumn("_nl_hits", F.when(F.col("_nl_found").isNotNull(), F.transform("_nl_found", aligned)))
-    exact = F.filter("_nl_hits", lambda h: F.size(h["at"]) > 0)
+    def judged(w: Column) -> Column:
+        hits = F.when(F.col("_nl_found").isNotNull(), F.transform("_nl_found", lambda item: aligned(w, item)))
+        return F.struct(n_words(w).cast("long").alias("n"), (F.element_at(w, 1) == "").cast("int").alias("lead"), hits.alias("hits"))
+
+    rows = rows.withColumn("_nl_judged", _bound(pieces(F.col(text)), judged))
+    found_here, lead = F.col("_nl_judged")["hits"], F.col("_nl_judged")["lead"]
+    exact = F.filter(found_here, lambda h: F.size(h["at"]) > 0)
     none = F.array().cast("array<string>")
     ids = F.coalesce(F.array_sort(F.array_distinct(F.transform(exact, lambda h: h["id"]))), none)
-    near = F.coalesce(F.array_sort(F.array_distinct(F.transform(F.filter("_nl_hits", lambda h: h["near"]), lambda h: h["id"]))), none)
+    near = F.coalesce(F.array_sort(F.array_distinct(F.transform(F.filter(found_here, lambda h: h["near"]), lambda h: h["id"]))), none)
     hits = F.array_sort(F.array_distinct(F.flatten(F.transform(exact, lambda h: h["at"]))))
-    lead = (F.element_at(w, 1) == "").cast("int")
     return (
-        judged.withColumn("n_words", n_words(w).cast("long"))
+        rows.withColumn("n_words", F.col("_nl_judged")["n"])
         .withColumn("hits", F.when(F.size(exact) > 0, F.transform(hits, lambda p: p - lead)).otherwise(F.array().cast("array<int>")))
         .withColumn("items", ids)
         .withColumn("near_items", F.array_except(near, F.col("items")))
-        .drop("_nl_text", "_nl_found", "_nl_words", "_nl_hits")
+        .drop("_nl_text", "_nl_found", "_nl_judged")
     )
 
 
