@@ -427,8 +427,9 @@ def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     """key, n_shingles, n_similar (other documents linked directly), component_id (least key reachable): one row for each row."""
     survey = written(_survey(docs, key, text), "survey", by=("kind",))
     rows = survey.filter("kind = 0").select("key", "place", "n", F.col("h1").alias("set"), F.col("h2").alias("check"))
-    # How common a bucket's words are, by powers of two; the buckets are bounded, so they may come to the driver.
-    words = survey.filter("kind = 1").groupBy(F.col("h1").cast("int").alias("bucket")).agg(F.floor(F.log2(F.sum("n")) + 1).cast("byte").alias("level")).toPandas()
+    # How common a bucket's words are, by powers of two; the buckets are bounded, so they may come to the driver. Those of words met three times or less are as rare as any.
+    counted = survey.filter("kind = 1").groupBy(F.col("h1").cast("int").alias("bucket")).agg(F.sum("n").alias("n")).filter("n > 3")
+    words = counted.select("bucket", F.floor(F.log2("n")).cast("byte").alias("level")).toPandas()
     common = np.zeros(1 << BUCKET_BITS, np.uint8)
     common[words["bucket"].to_numpy()] = words["level"].to_numpy()
 
