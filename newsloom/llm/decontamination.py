@@ -6,8 +6,8 @@
 2. The index stores the postings (term, text, position) of the anchors' terms: a written table.
 3. A posting at position p of an anchor at place q of an item lies on the diagonal p - q. Lists are intersected by
    grouping the offset-adjusted postings by (text, item, diagonal): an exact phrase of two words or more has both its
-   anchors on one diagonal. A proximity match is a cell of ``slop`` diagonals with three or more postings of
-   two or more places of the item.
+   anchors on one diagonal. A proximity match has postings of three places of the item (two, if the item has no more
+   anchors), at as many positions of the text, on diagonals no more than ``slop`` apart. An item with one anchor has none.
 4. Candidates are joined to their texts and verified word by word on the diagonal; words in runs of 8 equal ones are
    hit. Texts without candidates only have their words counted.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.shared import small, written
 
 WINDOW = 8
-#: Diagonals in one cell of a proximity match.
+#: The most that the diagonals of a proximity match lie apart.
 SLOP = 8
 #: What lies between the words of a text, A-Z lowered or not: lowering moves no border between words.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -79,26 +79,45 @@ def build_index(docs: DataFrame, terms: DataFrame, *, text: str = "text") -> Dat
 
 
 def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """_term, _item, _q, _n (the item's words): places of the two rarest terms of each window that can match at all."""
+    """_term, _item, _q, _n (the item's words), _m (its anchors): places of the two rarest terms of each window that can match at all."""
     places = items.select("_item", F.size("_words").alias("_n"), F.posexplode("_words").alias("_q", "_w")).select("_item", "_n", "_q", F.lower("_w").alias("_term"))
     places = places.join(counts, "_term", "left").withColumn("_tf", F.coalesce("_tf", F.lit(0)))
     starts = F.sequence(F.greatest(F.col("_q") - (window - 1), F.lit(0)), F.greatest(F.least(F.col("_q"), F.col("_n") - window), F.lit(0)))
     inside = places.withColumn("_s", F.explode(starts))
     own = Window.partitionBy("_item", "_s")
     ranked = inside.withColumn("_rank", F.row_number().over(own.orderBy("_tf", "_q"))).withColumn("_least", F.min("_tf").over(own))
-    return ranked.filter((F.col("_rank") <= 2) & (F.col("_least") > 0)).select("_term", "_item", "_q", "_n").distinct()
+    chosen = ranked.filter((F.col("_rank") <= 2) & (F.col("_least") > 0)).select("_term", "_item", "_q", "_n").distinct()
+    return chosen.withColumn("_m", F.count("*").over(Window.partitionBy("_item")))
+
+
+def _distinct(low: Column, high: Column, n: Column, total: Column, squares: Column) -> Column:
+    """How many different integers there are, 3 for more: low and high are the least and the greatest, and the sum of (x - low) * (high - x) is 0 unless some x lies between."""
+    between = (low + high) * total - squares - low * high * n
+    return F.when(low == high, F.lit(1)).when(between > 0, F.lit(3)).otherwise(F.lit(2))
 
 
 def intersect(index: DataFrame, places: DataFrame, slop: int = SLOP) -> DataFrame:
     """_text, _item, _exact (array of diagonals where the rarest lists meet), _near (whether the item has a proximity match)."""
-    aligned = index.join(small(places, 100), "_term").select("_text", "_item", "_n", "_q", (F.col("_pos") - F.col("_q")).alias("_d"))
-    diagonals = aligned.groupBy("_text", "_item", "_n", "_d").agg(F.min("_q").alias("_a"), F.max("_q").alias("_b"), F.count("*").alias("_c"))
-    cells = diagonals.groupBy("_text", "_item", "_n", F.floor(F.col("_d") / slop).alias("_cell")).agg(
-        F.collect_list(F.when((F.col("_a") < F.col("_b")) | (F.col("_n") == 1), F.col("_d"))).alias("_exact"),
-        ((F.min("_a") < F.max("_b")) & (F.sum("_c") >= 3)).alias("_near"),
+    q = F.col("_q").cast("long")
+    aligned = index.join(small(places, 100), "_term").select("_text", "_item", "_n", "_m", q.alias("_q"), (F.col("_pos") - F.col("_q")).alias("_d"))
+    # One shuffle for all that follows. Copies of a text repeat its postings, so places are counted as different ones.
+    diagonals = aligned.repartition("_text", "_item").groupBy("_text", "_item", "_n", "_m", "_d").agg(
+        F.min("_q").alias("_a"), F.max("_q").alias("_b"), F.count("*").alias("_c"), F.sum("_q").alias("_s"), F.sum(F.col("_q") * F.col("_q")).alias("_ss")
     )
-    kept = cells.filter((F.size("_exact") > 0) | F.col("_near"))
-    return kept.groupBy("_text", "_item").agg(F.flatten(F.collect_list("_exact")).alias("_exact"), F.bool_or("_near").alias("_near"))
+    a, b, d = F.col("_a"), F.col("_b"), F.col("_d")
+    ahead = Window.partitionBy("_text", "_item").orderBy("_d").rangeBetween(0, slop)
+    two = (a < b).cast("long")
+
+    def within(x: Column, y: Column) -> Column:
+        """Different ones among all x and y of the diagonals from this one to slop further."""
+        return _distinct(F.min(x).over(ahead), F.max(y).over(ahead), F.sum(1 + two).over(ahead), F.sum(x + two * y).over(ahead), F.sum(x * x + two * y * y).over(ahead))
+
+    # A diagonal with three places is a match by itself; one with fewer has no others than the least and the greatest.
+    need = F.greatest(F.lit(2), F.least(F.lit(3), F.col("_m")))
+    near = (_distinct(a, b, F.col("_c"), F.col("_s"), F.col("_ss")) >= 3) | ((within(a, b) >= need) & (within(d + a, d + b) >= need))
+    judged = diagonals.select("_text", "_item", F.when((a < b) | (F.col("_n") == 1), d).alias("_e"), near.alias("_near"))
+    met = judged.groupBy("_text", "_item").agg(F.collect_list("_e").alias("_exact"), F.bool_or("_near").alias("_near"))
+    return met.filter((F.size("_exact") > 0) | F.col("_near"))
 
 
 def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP, *, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -109,7 +128,8 @@ def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SL
     places = written(anchors(tests, counts, window), "anchors")
     index = build_index(docs, places.select("_term").distinct(), text=text)
     met = intersect(index, places, slop).join(small(tests, 1000), "_item")
-    found = met.groupBy("_text").agg(F.collect_list(F.struct("_id", "_words", "_exact", "_near")).alias("_nl_found")).withColumnRenamed("_text", "_nl_text")
+    words = F.when(F.size("_exact") > 0, F.col("_words")).alias("_words")
+    found = met.groupBy("_text").agg(F.collect_list(F.struct("_id", words, "_exact", "_near")).alias("_nl_found")).withColumnRenamed("_text", "_nl_text")
     found = written(found, "candidates")
 
     base = docs.withColumn("_nl_text", F.xxhash64(F.col(text).cast("string")))

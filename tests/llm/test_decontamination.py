@@ -85,3 +85,49 @@ def test_many_rows_are_shuffled_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(dc, "small", lambda x, row_bytes: x)
     got = sorted((r.doc_id, r.n_hit) for r in dc.mark(df, it).select("doc_id", *dc.digest_columns()).collect())
     assert got == sorted((i, brute(t, items)[1]) for i, t in enumerate(docs))
+
+
+def near_brute(text, item, docs, slop=8):
+    """Whether three anchors (two, if there are no more) meet in different words on diagonals within slop. Words are in lower case."""
+    w, t = item.split(), text.split()
+    tf = lambda x: sum(d.split().count(x) for d in docs)
+    anchors = set()
+    for s in range(max(len(w) - 7, 1)):
+        window = [(tf(w[q]), q) for q in range(s, min(s + 8, len(w)))]
+        if min(window)[0]:
+            anchors |= {q for _, q in sorted(window)[:2]}
+    need = max(2, min(3, len(anchors)))
+    hits = [(p - q, q, p) for q in anchors for p, x in enumerate(t) if x == w[q]]
+    for low in {d for d, _, _ in hits}:
+        met = [h for h in hits if low <= h[0] <= low + slop]
+        if len({q for _, q, _ in met}) >= need and len({p for _, _, p in met}) >= need:
+            return True
+    return False
+
+
+def test_near_matches_of_short_items_and_across_any_border(spark):
+    short, middle = "alpha beta gamma delta", "m0 m1 m2 m3 m4 m5 m6 m7 m8"
+    long = " ".join(f"x{i}" for i in range(24))
+    gap = lambda words, at, n: " ".join([*words.split()[:at], *["pad"] * n, *words.split()[at:]])
+    docs = [gap(short, 2, 1), gap(middle, 4, 2), *(("lead " * k) + gap(long, i, 1) for k in range(9) for i in (2, 9)), "alpha pad pad", "zz", "alpha " + "pad " * 40 + "beta"]
+    docs += [docs[-3]] * 4  # copies of a text count once
+    r = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(30)]
+    docs += [" ".join(r.choice(vocabulary) for _ in range(r.randint(3, 40))) for _ in range(60)]
+    items = [short, middle, long, "zz zz zz", *(" ".join(r.choice(vocabulary) for _ in range(n)) for n in (2, 3, 5, 8, 9, 14, 20))]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    it = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {r.doc_id: (r["items"], r["near_items"]) for r in dc.mark(df, it).collect()}
+    assert "0" in got[0][1] and "1" in got[1][1] and got[docs.index("zz")] == ([], [])
+    assert all("2" in got[i][0] + got[i][1] for i in range(2, 20))
+    for i, t in enumerate(docs):
+        assert got[i][1] == sorted(str(k) for k, item in enumerate(items) if near_brute(t, item, docs) and str(k) not in got[i][0]), (t, got[i])
+    assert sum(len(n) for _, n in got.values()) > 30
+
+
+def test_registered_query_returns_proximity(spark, tmp_path):
+    from newsloom.llm.queries import QUERIES
+
+    spark.createDataFrame([(1, "alpha beta pad gamma delta")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(9, "alpha beta gamma delta")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert QUERIES["op1_proximity"](spark, str(tmp_path)).first()["n_near"] == 1
