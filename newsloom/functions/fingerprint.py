@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Grams whose hashes a task keeps.
+KNOWN = 1 << 16
+
 
 def shingles(text: Column, k: int = 3) -> Column:
     """Distinct lower-case k-grams of characters; a shorter text is its own."""
-    t = F.lower(text)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - k + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(k)))
-    return F.when(F.length(t) < k, F.array(t)).otherwise(F.array_distinct(grams))
+    # The characters are bound once; substring() would lower and walk the text again for every gram.
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - k + 1, F.lit(1))), lambda i: F.concat(*(F.coalesce(F.get(c, i - 1 + j), F.lit("")) for j in range(k))))
+    every = F.element_at(F.transform(F.array(F.split(F.lower(text), "")), lambda c: F.array_distinct(grams(c))), 1)
+    return F.when(F.length(F.lower(text)) < k, F.array(F.lower(text))).otherwise(every)
 
 
 def word32(data: Column) -> Column:
@@ -19,10 +28,33 @@ def word32(data: Column) -> Column:
 
 
 def minhash(df: DataFrame, key: str, grams: Column, permutations: int = 128) -> DataFrame:
-    """key, signature: for each i the least word32(gram + i as four little-endian bytes). Minima are taken before the shuffle."""
-    rows = df.select(key, F.explode(grams).alias("g")).select(key, F.encode("g", "UTF-8").alias("g"))
-    suffix = [F.unhex(F.lit(i.to_bytes(4, "little").hex())) for i in range(permutations)]
-    return rows.groupBy(key).agg(F.array(*(F.min(word32(F.concat("g", s))) for s in suffix)).alias("signature"))
+    """key, signature: for each i the least first 32 bits of MD5(gram + i as four little-endian bytes), 2^32 - 1 without grams. One row for each row; words of a gram are kept, KNOWN grams at most."""
+    suffix = [i.to_bytes(4, "little") for i in range(permutations)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
+
+        def words(g: str) -> np.ndarray:
+            if g not in known:
+                if len(known) >= KNOWN:
+                    known.clear()
+                known[g] = np.frombuffer(b"".join(hashlib.md5(g.encode() + s).digest()[:4] for s in suffix), ">u4").astype("u4")
+            return known[g]
+
+        for rows in batches:
+            for at in range(0, rows.num_rows, 256):
+                part, out = rows.slice(at, 256), []
+                for gs in part.column(1):
+                    least = np.full(permutations, 0xFFFFFFFF, "u4")
+                    gs = gs.as_py() or []
+                    for k in range(0, len(gs), 4096):
+                        least = np.minimum(least, np.min([words(g) for g in gs[k : k + 4096]], axis=0))
+                    out.append(least.astype("i8"))
+                values = pa.array(np.concatenate(out), pa.int64())
+                lists = pa.ListArray.from_arrays(pa.array(range(0, len(values) + 1, permutations), pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], [key, "signature"])
+
+    return df.select(key, grams.alias("_g")).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, signature array<bigint>")
 
 
 def jaccard_estimate(a: Column, b: Column) -> Column:

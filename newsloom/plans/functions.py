@@ -57,7 +57,7 @@ def stream_digest(spark, sf_dir):
 
 @query("hashed_embeddings")
 def hashed_embeddings(spark, sf_dir):
-    return extraction.embed(table(spark, sf_dir, "benchmark"), "item_id", "text", 64)
+    return extraction.embed(table(spark, sf_dir, "documents"), "doc_id", "text", 64)
 
 
 @query(

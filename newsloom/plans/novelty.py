@@ -139,3 +139,24 @@ def minhash_sig(spark, sf_dir):
 def simhash_sig(spark, sf_dir):
     tokens = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     return fingerprint.simhash(table(spark, sf_dir, "benchmark"), "item_id", tokens)
+
+
+@query("shingle_documents")
+def shingle_documents(spark, sf_dir):
+    """All documents against all items, where shingle_jaccard and its SQL have the items only."""
+    return novelty.shingle_matches(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"), "item_id", "text", 0.25)
+
+
+@query("minhash_documents")
+def minhash_documents(spark, sf_dir):
+    """All documents with the reference's 128 permutations, where minhash_sig and its SQL have 16 over the items."""
+    got = fingerprint.minhash(table(spark, sf_dir, "documents"), "doc_id", F.when(F.length("text") > 0, fingerprint.shingles(F.col("text"))), 128)
+    return got.select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
+
+
+@query("simhash_documents")
+def simhash_documents(spark, sf_dir):
+    """All documents with words, where simhash_sig and its SQL have the items."""
+    tokens = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    return fingerprint.simhash(table(spark, sf_dir, "documents"), "doc_id", tokens)
+
