@@ -113,7 +113,7 @@ def acronym_mentions(spark, sf_dir):
 )
 def mention_chunk_overlap(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    found = docs.filter("length(text) >= 150").select("doc_id", F.explode(F.sequence(F.lit(0), F.least(F.length("text") - 150, F.lit(99999)), F.lit(777))).alias("s")).select("doc_id", F.col("s").cast("long").alias("start"), (F.col("s") + 150).cast("long").alias("end"))
+    found = docs.filter("length(text) >= 150").select("doc_id", F.explode(F.sequence(F.lit(0), F.length("text") - 150, F.lit(777))).alias("s")).select("doc_id", F.col("s").cast("long").alias("start"), (F.col("s") + 150).cast("long").alias("end"))
     chunks = parse.fixed_chunks(docs, "doc_id", "text").select("doc_id", F.col("start").alias("start2"), F.col("end").alias("end2"))
     met = spans.overlap_join(found, chunks, ["doc_id"])
     return met.groupBy("doc_id", "start").agg(F.count("*").alias("chunks"), F.array_join(F.array_sort(F.collect_list("start2")), ",").alias("chunk_starts"))
