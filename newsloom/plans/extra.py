@@ -37,6 +37,13 @@ def statement_normalize(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", s.alias("statement"))
 
 
+@query("statement_normalize_whole")
+def statement_normalize_whole(spark, sf_dir):
+    """Whole statements with all ASCII punctuation taken off their ends, as in the reference; statement_normalize and its SQL take 80 characters."""
+    s = F.regexp_replace(F.lower(F.trim(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]+", " "))), r"[!-/:-@\[-`{-~]+\z", "")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", s.alias("statement"))
+
+
 @query("event_type_alias", "SELECT event_id, CASE lower(trim(event_type)) WHEN 'purchase' THEN 'purchase_made' WHEN 'signup' THEN 'signup_opened' ELSE lower(trim(event_type)) END AS event_type FROM events")
 def event_type_alias(spark, sf_dir):
     aliases = {"purchase": "purchase_made", "signup": "signup_opened"}
