@@ -36,7 +36,7 @@ def vector_codec(spark, sf_dir):
 @query("fuzzy_names")
 def fuzzy_names(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("kind"), F.col("p_type").alias("name")).distinct()
-    return resolution.fuzzy_clusters(rows, "kind", "name", 0.9)
+    return resolution.fuzzy_clusters(rows, "kind", "name", 0.8)
 
 
 @query("acronym_merge", "WITH n AS (SELECT DISTINCT p_name AS name FROM part), s AS (SELECT name, upper(array_to_string(list_transform(list_filter(string_split(name, ' '), lambda w: w <> ''), lambda w: w[1]), '')) AS acronym FROM n WHERE contains(name, ' ')) SELECT acronym, min(name) AS name FROM s GROUP BY 1")
