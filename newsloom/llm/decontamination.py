@@ -12,13 +12,14 @@
    hit. Texts without candidates only have their words counted.
 
 A text is named by its 64-bit hash within the index; verification runs on each row's own text, so neither copies nor
-collisions can make a wrong hit. Terms are matched in full lower case first, which never loses a match, and compared
-with only A-Z lowered when verified. All is DataFrame operations.
-
-Cases: null and empty texts have no words and no hits. Items with null or empty text, or a null id, have no windows. Items
-that share a text each count; an id given twice counts once. Rows that repeat are judged each for itself. Empty
-tables of documents give no rows, of items no hits. Extra columns stay in ``mark`` and are ignored elsewhere; names
-beginning with _nl_ are ours.
+collisions can make a wrong hit. Terms are matched in full lower case first, letter by letter (``folded``), which never
+loses a match, and compared with only A-Z lowered when verified. All is DataFrame operations.
+
+Cases: null and empty texts have no words and no hits, and are spread by a hash of their row. Items with null or empty
+text, or a null id, have no windows. Items that share a text each count; an id given twice counts once. Of terms that are
+equally rare in a window the first ones are anchors. Rows that repeat are judged each for itself. Empty tables of
+documents give no rows, of items no hits. A very long text is one array of words in one task, and each diagonal is
+compared over the item's length only. Extra columns stay; where one has the name of ours, ours gets an underscore more.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.shared import small, written
+from newsloom.llm.shared import free_name, salt, small, written
 
 WINDOW = 8
 #: The most that the diagonals of a proximity match lie apart.
@@ -51,6 +52,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
+def folded(text: Column) -> Column:
+    """Lower case that depends on no neighbour: a capital sigma alone would become one of two letters by what follows it."""
+    return F.lower(F.replace(text, F.lit("\u03a3"), F.lit("\u03c3")))
+
+
 def _bound(value: Column, use) -> Column:
     """use(value) with the value made once: a plan may put an expression in every place where its column is used, a lambda's variable stays one."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -63,8 +69,8 @@ def item_table(items: DataFrame, *, item_id: str = "item_id", text: str = "text"
 
 
 def _postings(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
-    """_term, _text, _pos of the words whose lower case is in terms."""
-    every = docs.select(F.xxhash64(F.col(text).cast("string")).alias("_text"), F.posexplode(pieces(F.lower(F.col(text)))).alias("_pos", "_term"))
+    """_term, _text, _pos of the words that are in terms when folded."""
+    every = docs.select(F.xxhash64(F.col(text).cast("string")).alias("_text"), F.posexplode(pieces(folded(F.col(text).cast("string")))).alias("_pos", "_term"))
     return every.join(small(terms, 80), "_term")
 
 
@@ -80,7 +86,7 @@ def build_index(docs: DataFrame, terms: DataFrame, *, text: str = "text") -> Dat
 
 def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
     """_term, _item, _q, _n (the item's words), _m (its anchors): places of the two rarest terms of each window that can match at all."""
-    places = items.select("_item", F.size("_words").alias("_n"), F.posexplode("_words").alias("_q", "_w")).select("_item", "_n", "_q", F.lower("_w").alias("_term"))
+    places = items.select("_item", F.size("_words").alias("_n"), F.posexplode("_words").alias("_q", "_w")).select("_item", "_n", "_q", folded(F.col("_w")).alias("_term"))
     places = places.join(counts, "_term", "left").withColumn("_tf", F.coalesce("_tf", F.lit(0)))
     starts = F.sequence(F.greatest(F.col("_q") - (window - 1), F.lit(0)), F.greatest(F.least(F.col("_q"), F.col("_n") - window), F.lit(0)))
     inside = places.withColumn("_s", F.explode(starts))
@@ -120,20 +126,22 @@ def intersect(index: DataFrame, places: DataFrame, slop: int = SLOP) -> DataFram
     return met.filter((F.size("_exact") > 0) | F.col("_near"))
 
 
-def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP, *, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The table with n_words, hits (sorted positions of hit words), items (sorted ids of items with exact windows), near_items (ids with proximity matches only)."""
+def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "marks") -> DataFrame:
+    """The table with a column ``out`` (free_name): struct of n_words, hits (sorted positions of hit words), items (sorted ids of items with exact windows), near_items (ids with proximity matches only)."""
+    out, key, mine, judged_as = (free_name(docs, c) for c in (out, "_nl_text", "_nl_found", "_nl_judged"))
     tests = written(item_table(items, item_id=item_id, text=item_text), "items")
-    vocabulary = written(tests.select(F.explode("_words").alias("_w")).select(F.lower("_w").alias("_term")).distinct(), "vocabulary")
+    vocabulary = written(tests.select(F.explode("_words").alias("_w")).select(folded(F.col("_w")).alias("_term")).distinct(), "vocabulary")
     counts = written(term_counts(docs, vocabulary, text=text), "term-counts")
     places = written(anchors(tests, counts, window), "anchors")
     index = build_index(docs, places.select("_term").distinct(), text=text)
     met = intersect(index, places, slop).join(small(tests, 1000), "_item")
     words = F.when(F.size("_exact") > 0, F.col("_words")).alias("_words")
-    found = met.groupBy("_text").agg(F.collect_list(F.struct("_id", words, "_exact", "_near")).alias("_nl_found")).withColumnRenamed("_text", "_nl_text")
+    found = met.groupBy("_text").agg(F.collect_list(F.struct("_id", words, "_exact", "_near")).alias(mine)).withColumnRenamed("_text", key)
     found = written(found, "candidates")
 
-    base = docs.withColumn("_nl_text", F.xxhash64(F.col(text).cast("string")))
-    rows = base.join(small(found, 2000), "_nl_text", "left")
+    body = F.col(text).cast("string")
+    base = docs.withColumn(key, F.when(F.length(body) > 0, F.xxhash64(body)).otherwise(salt(docs)))
+    rows = base.join(small(found, 2000), key, "left")
 
     def aligned(w: Column, item: Column):
         """On each diagonal of the text's words w, one character for each word of the item: whether the text has it there."""
@@ -154,32 +162,36 @@ def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SL
         return F.struct(item["_id"].alias("id"), item["_near"].alias("near"), F.flatten(F.transform(item["_exact"], on)).alias("at"))
 
     def judged(w: Column) -> Column:
-        hits = F.when(F.col("_nl_found").isNotNull(), F.transform("_nl_found", lambda item: aligned(w, item)))
+        hits = F.when(F.col(mine).isNotNull(), F.transform(mine, lambda item: aligned(w, item)))
         return F.struct(n_words(w).cast("long").alias("n"), (F.element_at(w, 1) == "").cast("int").alias("lead"), hits.alias("hits"))
 
-    rows = rows.withColumn("_nl_judged", _bound(pieces(F.col(text)), judged))
-    found_here, lead = F.col("_nl_judged")["hits"], F.col("_nl_judged")["lead"]
+    rows = rows.withColumn(judged_as, _bound(pieces(F.col(text)), judged))
+    found_here, lead = F.col(judged_as)["hits"], F.col(judged_as)["lead"]
     exact = F.filter(found_here, lambda h: F.size(h["at"]) > 0)
     none = F.array().cast("array<string>")
     ids = F.coalesce(F.array_sort(F.array_distinct(F.transform(exact, lambda h: h["id"]))), none)
     near = F.coalesce(F.array_sort(F.array_distinct(F.transform(F.filter(found_here, lambda h: h["near"]), lambda h: h["id"]))), none)
     hits = F.array_sort(F.array_distinct(F.flatten(F.transform(exact, lambda h: h["at"]))))
-    return (
-        rows.withColumn("n_words", F.col("_nl_judged")["n"])
-        .withColumn("hits", F.when(F.size(exact) > 0, F.transform(hits, lambda p: p - lead)).otherwise(F.array().cast("array<int>")))
-        .withColumn("items", ids)
-        .withColumn("near_items", F.array_except(near, F.col("items")))
-        .drop("_nl_text", "_nl_found", "_nl_judged")
-    )
+    shown = F.when(F.size(exact) > 0, F.transform(hits, lambda p: p - lead)).otherwise(F.array().cast("array<int>"))
+    marks = F.struct(F.col(judged_as)["n"].alias("n_words"), shown.alias("hits"), ids.alias("items"), F.array_except(near, ids).alias("near_items"))
+    return rows.withColumn(out, marks).select(*(F.col(f"`{c}`") for c in docs.columns), out)
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, *, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows without an exact window of any item, with all their columns."""
+    name = free_name(docs, "marks")
+    marked = mark(docs, items, window, text=text, item_id=item_id, item_text=item_text, out=name)
+    return marked.filter(F.size(f"{name}.items") == 0).drop(name)
 
 
-def digest_columns() -> list[Column]:
-    """n_words, n_hit, n_items, items_sha256, contaminated and n_near of mark()'s columns."""
+def digest_columns(marks: Column | None = None) -> list[Column]:
+    """n_words, n_hit, n_items, items_sha256, contaminated and n_near of mark()'s column."""
+    m = F.col("marks") if marks is None else marks
     return [
-        F.col("n_words"),
-        F.size("hits").cast("long").alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.size("items") >= 2).alias("contaminated"),
-        F.size("near_items").cast("long").alias("n_near"),
+        m["n_words"].alias("n_words"),
+        F.size(m["hits"]).cast("long").alias("n_hit"),
+        F.size(m["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(m["items"], ","), 256).alias("items_sha256"),
+        (F.size(m["items"]) >= 2).alias("contaminated"),
+        F.size(m["near_items"]).cast("long").alias("n_near"),
     ]

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast below this many bytes (rows counted, times a row's width); beyond it both sides shuffle.
@@ -14,9 +14,11 @@ BROADCAST_LIMIT = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (a single machine)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset on a single machine. A cluster without it raises: no executor but one would see the folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = getattr(spark, "_newsloom_dir", None) or "file://" + tempfile.mkdtemp(prefix="newsloom-")
         spark._newsloom_dir = found
     if "://" not in found:
@@ -36,6 +38,20 @@ def written(df: DataFrame, name: str, *, by: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as make it differ from all columns of the table (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def salt(df: DataFrame) -> Column:
+    """A hash of a row's columns, the same whenever a task runs again. It spreads rows that share a null key."""
+    plain = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """A broadcast hint if the rows, counted, fit the limit; else the DataFrame as it is. Give a written() one: it is counted."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

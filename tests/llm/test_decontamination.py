@@ -57,7 +57,7 @@ def test_against_brute_force(spark):
 def test_hits_are_positions_of_words(spark):
     df = spark.createDataFrame([(1, '"One two THREE four')], "doc_id bigint, text string")
     it = spark.createDataFrame([(5, "two three")], "item_id bigint, text string")
-    r = dc.mark(df, it).first()
+    r = dc.mark(df, it).first().marks
     assert (r["hits"], r["items"], r["near_items"]) == ([1, 2], ["5"], [])
 
 
@@ -66,7 +66,7 @@ def test_proximity(spark):
     near = " ".join(w + (" filler" if i % 4 == 3 else "") for i, w in enumerate(words[:16]))
     df = spark.createDataFrame([(1, near), (2, " ".join(words)), (3, "w1 nothing else")], "doc_id bigint, text string")
     it = spark.createDataFrame([(9, " ".join(words))], "item_id bigint, text string")
-    got = {r.doc_id: (r["items"], r["near_items"]) for r in dc.mark(df, it).collect()}
+    got = {r.doc_id: (r.marks["items"], r.marks["near_items"]) for r in dc.mark(df, it).collect()}
     assert got == {1: ([], ["9"]), 2: (["9"], []), 3: ([], [])}
 
 
@@ -74,7 +74,7 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     it = spark.createDataFrame([(9, "a b")], "item_id bigint, text string")
     assert dc.mark(df.limit(0), it).count() == 0
-    r = dc.mark(df, it.limit(0)).first()
+    r = dc.mark(df, it.limit(0)).first().marks
     assert (r.n_words, r["hits"], r["items"]) == (3, [], [])
 
 
@@ -117,7 +117,7 @@ def test_near_matches_of_short_items_and_across_any_border(spark):
     items = [short, middle, long, "zz zz zz", *(" ".join(r.choice(vocabulary) for _ in range(n)) for n in (2, 3, 5, 8, 9, 14, 20))]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
     it = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
-    got = {r.doc_id: (r["items"], r["near_items"]) for r in dc.mark(df, it).collect()}
+    got = {r.doc_id: (r.marks["items"], r.marks["near_items"]) for r in dc.mark(df, it).collect()}
     assert "0" in got[0][1] and "1" in got[1][1] and got[docs.index("zz")] == ([], [])
     assert all("2" in got[i][0] + got[i][1] for i in range(2, 20))
     for i, t in enumerate(docs):
@@ -131,3 +131,35 @@ def test_registered_query_returns_proximity(spark, tmp_path):
     spark.createDataFrame([(1, "alpha beta pad gamma delta")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(9, "alpha beta gamma delta")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert QUERIES["op1_proximity"](spark, str(tmp_path)).first()["n_near"] == 1
+
+
+def test_sigma_beside_marks(spark):
+    """A capital sigma at a word's end is lowered alike whatever follows it."""
+    docs = ["ΑΣ'Β", "ΑΣ Β", "ας β", "ασ β", "x ΑΣ.Β"]
+    items = [(1, "ΑΣ Β"), (2, "ας β")]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    it = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in dc.mark(df, it).select("doc_id", *dc.digest_columns()).collect()}
+    assert got == {i: brute(t, items) for i, t in enumerate(docs)} and got[0][2] == got[1][2] == 1
+
+
+def test_clashing_names_stay(spark):
+    schema = "doc_id bigint, text string, items string, HITS string, marks string, _nl_text string, _nl_found int, n_words string, _nl_judged map<string,int>"
+    df = spark.createDataFrame([(1, "one two", "i", "h", "m", "t", 1, "n", {}), (2, None, "i", "h", "m", "t", 1, "n", None)], schema)
+    it = spark.createDataFrame([(5, "two")], "item_id bigint, text string")
+    got = dc.mark(df, it)
+    assert got.columns == [*df.columns, "marks_"]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert rows[1][:8] == (1, "one two", "i", "h", "m", "t", 1, "n") and rows[1]["marks_"]["items"] == ["5"] and rows[2]["marks_"]["n_words"] == 0
+    assert dc.clean(df, it).columns == df.columns and [r.doc_id for r in dc.clean(df, it).collect()] == [2]
+
+
+def test_long_texts_ties_and_repeats(spark):
+    """A text of a megabyte; all its terms are equally frequent, and it is there twice."""
+    words = [f"w{i}" for i in range(150_000)]
+    long = " ".join(words)
+    items = [(1, " ".join(words[75_000:75_012])), (2, " ".join(words[149_990:])), (3, " ".join(words[10:14] + ["no"] + words[15:19]))]
+    df = spark.createDataFrame([(1, long), (1, long), (2, "w1")], "doc_id bigint, text string")
+    it = spark.createDataFrame(items, "item_id bigint, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in dc.mark(df, it).select("doc_id", *dc.digest_columns()).collect())
+    assert len(long) > 1_000_000 and got == [(1, 150_000, 22, 2)] * 2 + [(2, 1, 0, 0)]
