@@ -13,9 +13,11 @@ The link is an interval join: parts are put into cells of ``window`` code points
 cell and the two beside it. Links depend on the text alone, so equal texts are linked once, by digest. All is DataFrame
 operations: positions come from splitting a text at a pattern's matches and adding up lengths.
 
-Cases: a null text is empty. A document without spans has zero counts and empty strings. Rows that repeat an id are
-scanned each for itself. Extra columns stay as they are; names beginning with _nl_ are ours. Very long texts only make
-long arrays of spans; a link looks at three cells, never at all pairs of a document. An empty table gives no rows.
+Cases: a null text is empty (and stays null when masked). A document without spans has zero counts and empty strings.
+Spans that begin together are in the order of KINDS. Rows that repeat an id are scanned each for itself. Extra columns
+stay as they are; where one has the name of ours, ours gets an underscore more. Very long texts only make long arrays
+of spans, whose sums take n log n steps; a link looks at three cells, never at all pairs of a document. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.shared import small, written
+from newsloom.llm.shared import free_name, salt, small, written
 
 WINDOW = 300
 #: kind: (pattern in Java's syntax, group that must be long, its least length, role, base)
@@ -38,18 +40,39 @@ KINDS: dict[str, tuple[str, int, int, str, bool]] = {
 _ORDER = list(KINDS)
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value made once: a lambda's variable isn't made anew in every place."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, both) -> Column:
+    """The array's running totals under ``both`` (a sum, a maximum): as many passes as its length has bits, so no array grows element by element."""
+    passes = F.greatest(F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"), F.lit(1))
+    one = lambda a, k: F.transform(a, lambda x, i: F.coalesce(both(x, F.get(a, i - F.call_function("shiftleft", F.lit(1), k))), x))
+    return F.aggregate(F.sequence(F.lit(0), passes - 1), values, one)
+
+
+_NO_SPANS = "array<struct<start:int,end:int>>"
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """Array of struct(start, end) in code points: leftmost matches that don't overlap, failing ones dropped afterwards."""
     pattern, group, least, _, _ = KINDS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     long_enough = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    # pieces[i] is what lies before match i
-    cells = F.zip_with(F.split(text, pattern, -1), found, lambda p, m: F.struct(F.char_length(p).alias("p"), F.char_length(F.coalesce(m, F.lit(""))).alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("got"))
-    step = lambda s, c: F.struct((s["at"] + c["p"] + c["m"]).alias("at"), F.concat(s["got"], F.array(F.struct((s["at"] + c["p"]).alias("start"), (s["at"] + c["p"] + c["m"]).alias("end")))).alias("got"))
-    all_of = F.aggregate(cells, start, step, lambda s: s["got"])
-    kept = F.zip_with(F.slice(all_of, F.lit(1), F.size(found)), long_enough, lambda s, v: F.struct(s["start"], s["end"], (F.char_length(v) >= least).alias("ok")))
-    return F.when(text.rlike(pattern), F.transform(F.filter(kept, lambda s: s["ok"]), lambda s: F.struct(s["start"], s["end"]))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    # What lies before each match, the match, and how long its part is that has to be long.
+    cells = F.zip_with(
+        F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.char_length(p).alias("p"), F.char_length(m).alias("m"))),
+        long_enough,
+        lambda c, v: F.struct(c["p"].alias("p"), c["m"].alias("m"), F.char_length(v).alias("v")),
+    )
+
+    def placed(c: Column) -> Column:
+        ends = _running(F.transform(c, lambda x: x["p"] + x["m"]), lambda x, before: x + before)
+        spans = F.zip_with(c, ends, lambda x, e: F.struct((e - x["m"]).alias("start"), e.alias("end"), x["v"].alias("v")))
+        return F.transform(F.filter(spans, lambda x: x["v"] >= least), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+
+    return F.when(text.rlike(pattern), _bound(cells, placed)).otherwise(F.array().cast(_NO_SPANS))
 
 
 def _hay(text: Column) -> dict[str, Column]:
@@ -94,17 +117,18 @@ def links(docs: DataFrame, window: int = WINDOW, *, text: str = "text") -> DataF
 
 
 def scan(docs: DataFrame, window: int = WINDOW, *, text: str = "text", out: str = "spans") -> DataFrame:
-    """The table with a column ``out``: array of struct(start, end, kind, base), by start, then kind."""
-    linked = written(links(docs, window, text=text), "secret-links").withColumnsRenamed({"_key": "_nl_key", "_links": "_nl_links"})
+    """The table with a column ``out`` (free_name): array of struct(start, end, kind, base), by start, then kind."""
+    out, key, mine, near = (free_name(docs, c) for c in (out, "_nl_key", "_nl_parts", "_nl_links"))
+    linked = written(links(docs, window, text=text), "secret-links").withColumnsRenamed({"_key": key, "_links": near})
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     # Rows without weak parts get keys that match nothing and spread over the partitions.
-    rows = docs.withColumn("_nl_parts", parts(t)).withColumn("_nl_key", F.when(F.exists("_nl_parts", lambda s: s["k"] >= 3), F.sha1(F.encode(t, "UTF-8"))).otherwise(F.concat(F.lit("-"), F.pmod(F.xxhash64(t), F.lit(4096)).cast("string"))))
-    rows = rows.join(small(linked, 400), "_nl_key", "left")
+    rows = docs.withColumn(mine, parts(t)).withColumn(key, F.when(F.exists(mine, lambda s: s["k"] >= 3), F.sha1(F.encode(t, "UTF-8"))).otherwise(F.concat(F.lit("-"), salt(docs).cast("string"))))
+    rows = rows.join(small(linked, 400), key, "left")
     names = F.array(*(F.lit(x) for x in _ORDER))
-    every = F.concat(F.filter("_nl_parts", lambda s: s["k"] < 3), F.coalesce("_nl_links", F.array().cast("array<struct<k:int,start:int,end:int>>")))
+    every = F.concat(F.filter(mine, lambda s: s["k"] < 3), F.coalesce(near, F.array().cast("array<struct<k:int,start:int,end:int>>")))
     ordered = F.sort_array(F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"))))
     spans = F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), names[s["k"]].alias("kind"), (s["k"] < 3).alias("base")))
-    return rows.withColumn(out, spans).drop("_nl_key", "_nl_parts", "_nl_links")
+    return rows.withColumn(out, spans).select(*(F.col(f"`{c}`") for c in docs.columns), out)
 
 
 def _equals(kind: str):
@@ -122,19 +146,41 @@ def digest_columns(spans: Column) -> list[Column]:
     ]
 
 
+#: Code points of a piece of text; a gap between spans is cut from the pieces it lies in, so no cut starts at the text's beginning.
+_PIECE = 4096
+
+
+def _gaps(text: Column, spans: Column) -> Column:
+    """What lies before, between and behind spans: they are sorted by start and may overlap, touch or lie in each other."""
+
+    def joined(s: Column) -> Column:
+        reach = _running(F.transform(s, lambda x: x["end"]), lambda x, before: F.greatest(x, before))
+        # A span opens a mask if it begins behind all before it.
+        every = F.zip_with(s, reach, lambda x, r: F.struct(x["start"].alias("start"), r.alias("reach")))
+        return _bound(every, masks)
+
+    def masks(every: Column) -> Column:
+        opens = F.filter(every, lambda x, i: (i == 0) | (x["start"] > F.get(every, i - 1)["reach"]))
+        shuts = F.filter(every, lambda x, i: F.coalesce(F.get(every, i + 1)["start"] > x["reach"], F.lit(True)))
+        return _bound(opens, lambda o: F.concat(
+            F.array(F.struct(F.lit(0).alias("a"), F.get(o, F.lit(0))["start"].alias("b"))),
+            F.transform(shuts, lambda x, i: F.struct(x["reach"].alias("a"), F.coalesce(F.get(o, i + 1)["start"], F.char_length(text)).alias("b"))),
+        ))
+
+    def cut(pieces: Column):
+        def of(g: Column) -> Column:
+            p, q = F.floor(g["a"] / _PIECE).cast("int"), F.floor(g["b"] / _PIECE).cast("int")
+            at = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+            inside = F.substring(at(p), g["a"] % _PIECE + 1, g["b"] - g["a"])
+            head = F.substring(at(p), g["a"] % _PIECE + 1, F.lit(_PIECE))
+            return F.when(p == q, inside).otherwise(F.concat(head, F.array_join(F.slice(pieces, p + 2, q - p - 1), ""), F.substring(at(q), F.lit(1), g["b"] % _PIECE)))
+
+        return of
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    return _bound(pieces, lambda p: F.transform(_bound(spans, joined), cut(p)))
+
+
 def redact(text: Column, spans: Column, mask: str = "[REDACTED]") -> Column:
-    """The text with its spans masked, overlapping and touching ones as one."""
-    merged = F.aggregate(
-        spans,
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda a, s: F.when(
-            (F.size(a) > 0) & (F.element_at(a, -1)["end"] >= s["start"]),
-            F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    done = F.aggregate(
-        merged,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mask)).alias("out")),
-    )
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text)))
+    """The text with its spans masked, overlapping and touching ones as one. Without spans it is the text."""
+    return F.when(F.size(spans) > 0, F.array_join(_gaps(text, spans), mask)).otherwise(text)

@@ -58,3 +58,58 @@ def test_redaction_and_cases(spark):
     got = secrets.scan(df).select("doc_id", "start", secrets.redact(F.col("text"), F.col("spans")).alias("t")).collect()
     assert sorted((r.start, r.t) for r in got if r.t is not None) == [(1, "a [REDACTED] b"), (1, "a [REDACTED] b"), (2, "😀 [REDACTED]"), (4, "")]
     assert secrets.scan(df.limit(0)).count() == 0
+
+
+def merged(text, spans, mask="[REDACTED]"):
+    out, at = [], 0
+    blocks = []
+    for s, e in sorted(spans):
+        if blocks and s <= blocks[-1][1]:
+            blocks[-1][1] = max(e, blocks[-1][1])
+        else:
+            blocks.append([s, e])
+    for s, e in blocks:
+        out += [text[at:s], mask]
+        at = e
+    return "".join([*out, text[at:]])
+
+
+def test_redaction_against_slices(spark):
+    """Spans that overlap, touch, lie in each other and cross pieces of text."""
+    r = random.Random(4)
+    rows = []
+    for i in range(60):
+        text = "".join(r.choice("ab😀é\n") for _ in range(r.choice([0, 5, 300, 9_000])))
+        spans = sorted((a, min(len(text), a + r.choice([1, 3, 50, 5_000]))) for a in (r.randrange(len(text)) for _ in range(r.randint(0, 12)))) if text else []
+        rows.append((i, text, [(a, b) for a, b in spans if a < b]))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, spans array<struct<start:int,end:int>>")
+    got = {x.doc_id: x.t for x in df.select("doc_id", secrets.redact(F.col("text"), F.col("spans")).alias("t")).collect()}
+    for i, text, spans in rows:
+        assert got[i] == merged(text, spans), (text, spans)
+
+
+def test_long_text_with_many_spans(spark):
+    """A megabyte of secrets takes seconds, not minutes."""
+    import time
+
+    text = "password=abcdefgh1 é " * 50_000
+    df = spark.createDataFrame([(1, text, "x"), (1, text, "y"), (2, None, "z")], "doc_id bigint, text string, spans string")
+    began = time.perf_counter()
+    found = secrets.scan(df)
+    assert found.columns == ["doc_id", "text", "spans", "spans_"]
+    got = found.select("spans", "spans_", F.size("spans_").alias("n"), secrets.redact(F.col("text"), F.col("spans_")).alias("t")).collect()
+    took = time.perf_counter() - began
+    # Plain truth values: an explanation of a failed comparison would take longer than the scan.
+    masked = [x.t == "[REDACTED] é " * 50_000 for x in got if x.spans != "z"]
+    first = [[(s.start, s.end) for s in x["spans_"][:2]] for x in got if x.spans != "z"]
+    counts = sorted(x.n for x in got)
+    null = [x.t for x in got if x.spans == "z"]
+    del got
+    assert masked == [True, True] and null == [None] and counts == [0, 50_000, 50_000]
+    assert first == [[(0, 18), (21, 39)]] * 2 and took < 60
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "user=alice99 password=abcdefgh1", 5, {}, "k")], "doc_id bigint, text string, _nl_key int, _nl_parts map<string,int>, _NL_LINKS string")
+    row = secrets.scan(df).first()
+    assert row[:5] == (1, "user=alice99 password=abcdefgh1", 5, {}, "k") and [s.kind for s in row["spans"]] == ["user", "assign"]
