@@ -17,14 +17,21 @@ merged one by one. Characters without a piece become their UTF-8 bytes' pieces.
 Decoding joins pieces and bytes, and takes off the space that encoding put before the text. It gives the text back
 unless that holds U+2581, the mark for a space, which comes back as a space (so it does in the library).
 
-Cases: null and empty texts have no ids and decode to an empty text. Repeated rows get equal ids; extra columns are
-ignored. Words of any length work, in time that grows with their length.
+A long word (a text without spaces) is cut where no piece has the two characters side by side: nothing crosses that
+place, so its parts are searched as words are. A part that is still long has no others of its length to advance with; it
+is searched alone, place by place, or, in a BPE model, merged one by one. Both give the same ids in n log n steps.
+
+Cases: null and empty texts have no ids and decode to an empty text; null ids stay. Repeated rows get equal ids; of paths
+with equal sums the one whose last piece is longest is taken. Extra columns are ignored, whatever their names. Texts and
+words of any length work, in time that grows with their length; the text and its ids are in memory at once. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import struct
 from collections.abc import Iterator
@@ -40,6 +47,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Text bytes taken at once, and words kept from one batch to the next (twice at most).
 _SLICE, _KEEP = 2 << 20, 400_000
+#: Characters that a kept word has on average at most.
+_WORD = 32
+#: Characters of a word beyond which it is cut, and its parts searched alone.
+_LONG = 64
 #: Cells (words times places times piece lengths) probed at once.
 _CELLS = 1 << 21
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -128,7 +139,7 @@ class Model:
         if self.kind == "bpe":
             self._merges()
 
-    # -- BPE ----------------------------------------------------------------------------------------------------
+    # BPE
 
     def merge(self, word: str, trace: dict | None = None) -> list[str]:
         """Merging one by one: the best score first, then the leftmost. trace gets the last merge."""
@@ -223,7 +234,7 @@ class Model:
             one, two, live = np.where(undo1, r1, one)[go], np.where(undo2, r2, two)[go], live[go]
         return out
 
-    # -- search -------------------------------------------------------------------------------------------------
+    # search
 
     def probe(self, codes: np.ndarray) -> np.ndarray:
         """ids[w, i, n - 1]: the piece of n characters of word w that ends before place i, or -1."""
@@ -290,12 +301,52 @@ class Model:
         return ids, ends
 
     def segment(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, as 32-bit integers. Words without a run of spaces are searched together, by length."""
+        """The ids of each word, as 32-bit integers. Long words are cut first; words are searched together, by length."""
+        whole: dict[int, list[str]] = {k: self.parts(w) for k, w in enumerate(words) if len(w) > _LONG}
+        if not whole:
+            return self._segment(words)
+        short = [w for k, w in enumerate(words) if k not in whole]
+        names = list(dict.fromkeys(p for parts in whole.values() for p in parts))
+        ids = self._segment(short + names)
+        of, rest = dict(zip(names, ids[len(short) :])), iter(ids)
+        return [b"".join(map(of.__getitem__, whole[k])) if k in whole else next(rest) for k in range(len(words))]
+
+    def parts(self, word: str) -> list[str]:
+        """The word cut where no piece crosses. Without pieces of bytes, neighbours that both have no piece stay together: they have one id."""
+        out, at = [], 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in self.joined and (self.byte_fallback or word[i] in self.ids or word[i - 1] in self.ids):
+                out.append(word[at:i])
+                at = i
+        return [*out, word[at:]]
+
+    def alone(self, word: str) -> list[int]:
+        """The ids of one long word: merges by their order, or the best sum place by place. -1 - i as in search()."""
+        if self.kind == "bpe":
+            return [self.ids.get(p, -1 - i) for p, i in _ends(self.merge(word))]
+        best, back = [0.0], [0]
+        for i in range(1, len(word) + 1):
+            top, n = -math.inf, 1
+            for k in range(min(i, self.longest), 0, -1):
+                piece = self.ids.get(word[i - k : i])
+                score = best[i - k] + (self.scores[piece] if piece is not None else self.lowest if k == 1 else -math.inf)
+                if score > top:
+                    top, n = score, k
+            best.append(top)
+            back.append(n)
+        ids, at = [], len(word)
+        while at:
+            ids.append(self.ids.get(word[at - back[at] : at], -1 - at))
+            at -= back[at]
+        return ids[::-1]
+
+    def _segment(self, words: list[str]) -> list[bytes]:
+        """The ids of each word. Long ones, and words with a run of spaces whose pieces are tied, are searched alone."""
         out: list[bytes] = [b""] * len(words)
         by: dict[int, list[int]] = {}
         for k, w in enumerate(words):
-            if self.kind == "bpe" and SPACE + SPACE in w and self.tied:
-                out[k] = self._bytes([self.ids.get(p, -1 - i) for p, i in _ends(self.merge(w))], w)
+            if len(w) > _LONG or self.kind == "bpe" and SPACE + SPACE in w and self.tied:
+                out[k] = self._bytes(self.alone(w), w)
             elif w:
                 by.setdefault(len(w), []).append(k)
         for length, members in by.items():
@@ -324,7 +375,7 @@ class Model:
             ids = flat
         return struct.pack(f"<{len(ids)}i", *ids)
 
-    # -- texts --------------------------------------------------------------------------------------------------
+    # texts
 
     def words(self, text: str) -> list[str]:
         """Keys of a text's words: ``x`` stands for a space and x, ``\\nx`` for a line end and x, ``\\n\\nx`` for x at the start of a text that gets no space; one that begins with the mark is as it is."""
@@ -384,11 +435,11 @@ class Cache:
     def __init__(self, keep: int = _KEEP):
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.keep = keep
+        self.keep, self.chars = keep, 0
 
     def learn(self, model: Model, keys: list[list[str]]) -> None:
-        if len(self.new) > self.keep:
-            self.old, self.new = self.new, {}
+        if len(self.new) > self.keep or self.chars > _WORD * self.keep:
+            self.old, self.new, self.chars = self.new, {}, 0
         wanted = {w for k in keys for w in k}.difference(self.new)
         missing = []
         for w in wanted:
@@ -397,6 +448,7 @@ class Cache:
                 missing.append(w)
             else:
                 self.new[w] = found
+        self.chars += sum(map(len, wanted))
         newline = model._bytes([-2], "\n")
         # A word is cut before its closing punctuation where nothing is merged; what is left is often known.
         heads: dict[str, str] = {}

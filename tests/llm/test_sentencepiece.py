@@ -111,3 +111,30 @@ def test_cache_is_bounded_and_forgets_nothing_needed():
 def test_other_models_are_refused(tmp_path):
     with pytest.raises((ValueError, OSError)):
         sp.Model(str(tmp_path / "none.model"))
+
+
+def test_texts_without_spaces():
+    r = random.Random(7)
+    long = ["".join(chr(r.randint(0x4E00, 0x5FFF)) for _ in range(200_000)), "".join(r.choice("etaoinshrdlu") for _ in range(100_000)), "a" * 50_000, "😀é" * 9_000, " " * 20_000 + "x" + "\n" * 9_000]
+    model, other = sp.load(PATH), library.SentencePieceProcessor(model_file=PATH)
+    for t, ids in zip(long, model.encode(long, sp.Cache())):
+        same = ids.tolist() == other.encode(t)
+        back = model.decode(ids) == t
+        assert same and back, t[:20]
+
+
+def test_long_words_alone_agree_with_search(tmp_path, monkeypatch):
+    r = random.Random(9)
+    for model in (sp.load(PATH), sp.Model(as_unigram(PATH, str(tmp_path / "u.model")))):
+        words = ["▁" + "".join(r.choice("aeiousthn.ingéz中😀1") for _ in range(r.randint(20, 60))) for _ in range(200)]
+        want = model.segment(words)
+        monkeypatch.setattr(sp, "_LONG", 8)
+        assert model.segment(words) == want
+        monkeypatch.undo()
+
+
+def test_cache_is_bounded_by_characters():
+    model, cache = sp.load(PATH), sp.Cache(keep=10)
+    for i in range(5):
+        model.encode([f"{i}" * 1000], cache)
+    assert cache.chars < 3000
