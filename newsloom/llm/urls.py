@@ -4,12 +4,13 @@ A rule is ``host/path``. Its digest is xxh64 of that string. The digest file hol
 the text file the rules' strings in the same order with their offsets: a probe that meets a digest reads
 the stored string there and counts only if it is equal, so a collision of digests never judges a URL.
 
-A URL's candidates are its host's suffixes at label borders times the path prefixes of those lengths that
-some rule has. All candidates of a batch are probed with one ``searchsorted``.
+A URL's candidates are its host's suffixes at label borders, up to the longest host that a rule has, times the path
+prefixes of those lengths that some rule has. Candidates are probed with one ``searchsorted`` for some ten thousand of them.
 
 Cases: a null URL, one without ``://`` and an empty one have an empty host and path, no rule, and the
 default verdict. Rules of equal length that fit the same URL can't differ. Repeated rows are judged alike.
-Extra columns are ignored. An empty table gives no rows.
+Extra columns are ignored, whatever their names. A very long URL takes time in proportion to its length: of its host
+only the end can match. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 #: The most rules one digest file takes (about 100 bytes each on every executor's disk, mapped, not loaded).
 MAX_RULES = 20_000_000
 DEFAULT = "allow"
+#: Candidates that are probed together, about.
+_PROBED = 10_000
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -54,8 +57,8 @@ class DigestArray:
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            n, size, lengths = np.frombuffer(f.read(24), np.int64)
-        at = 24
+            n, size, lengths, self.longest_host = np.frombuffer(f.read(32), np.int64).tolist()
+        at = 32
         self.keys = np.memmap(path, np.uint64, "r", at, (n,)) if n else np.zeros(0, np.uint64)
         at += 8 * n
         self.ends = np.memmap(path, np.int64, "r", at, (n + 1,))
@@ -67,7 +70,7 @@ class DigestArray:
 
     @staticmethod
     def build(rules, key=digests) -> bytes:
-        """The file's bytes: counts, sorted keys, offsets, verdicts, strings, and the rules' path lengths. A rule given twice counts once; block wins over allow."""
+        """The file's bytes: counts and the longest host, sorted keys, offsets, verdicts, strings, and the rules' path lengths. A rule given twice counts once; block wins over allow."""
         kinds: dict[str, str] = {}
         for verdict, rule in rules:
             if verdict not in ("block", "allow") or "/" not in rule:
@@ -83,7 +86,7 @@ class DigestArray:
         verdicts = np.array([kinds[strings[i]] == "block" for i in order], np.uint8)
         lengths = np.unique([len(s) - s.index("/") for s in strings]).astype(np.int64)
         out = io.BytesIO()
-        for part in (np.array([len(strings), ends[-1], len(lengths)], np.int64), keys[order], ends, verdicts):
+        for part in (np.array([len(strings), ends[-1], len(lengths), max((s.index("/") for s in strings), default=0)], np.int64), keys[order], ends, verdicts):
             out.write(part.tobytes())
         out.write(b"".join(raw))
         out.write(lengths.tobytes())
@@ -113,9 +116,20 @@ def judge(index: DigestArray, urls, default: str = DEFAULT) -> pd.DataFrame:
     """host, path, rule and verdict of each URL."""
     parts = [split_url(u) for u in urls]
     candidates, owners = [], []
+    best: list[tuple[int, int]] = [(-1, -1)] * len(parts)
+
+    def probe() -> None:
+        places = index.probe(candidates)
+        for j in np.flatnonzero(places >= 0):
+            i = owners[j]
+            best[i] = max(best[i], (len(candidates[j]), int(places[j])))
+        candidates.clear()
+        owners.clear()
+
     for i, (host, path) in enumerate(parts):
-        at = 0
-        while host:
+        # A suffix begins the host or follows a dot, and is no longer than the longest rule's host.
+        at = 0 if len(host) <= index.longest_host else host.find(".", len(host) - index.longest_host - 1) + 1
+        while host and (at or len(host) <= index.longest_host):
             for n in index.path_lengths:
                 if n <= len(path):
                     candidates.append(f"{host[at:]}{path[:n]}")
@@ -123,11 +137,9 @@ def judge(index: DigestArray, urls, default: str = DEFAULT) -> pd.DataFrame:
             at = host.find(".", at) + 1
             if not at:
                 break
-    best: list[tuple[int, int]] = [(-1, -1)] * len(parts)
-    places = index.probe(candidates)
-    for j in np.flatnonzero(places >= 0):
-        i = owners[j]
-        best[i] = max(best[i], (len(candidates[j]), int(places[j])))
+        if len(candidates) >= _PROBED:
+            probe()
+    probe()
     return pd.DataFrame(
         {
             "host": [h for h, _ in parts],

@@ -54,3 +54,16 @@ def test_no_rules(tmp_path):
     path = tmp_path / "d"
     path.write_bytes(urls.DigestArray.build([]))
     assert urls.judge(urls.DigestArray(str(path)), ["http://a.net/", None]).verdict.tolist() == ["allow", "allow"]
+
+
+def test_long_urls(tmp_path):
+    """Hosts and paths of a megabyte, with as many labels as they can have."""
+    path = tmp_path / "d"
+    path.write_bytes(urls.DigestArray.build([*urls.RULES, ("block", "a.very.long.host.name.org/x/")]))
+    index = urls.DigestArray(str(path))
+    many = "http://" + "a." * 500_000
+    got = [many + "example.net/en/", many + "xexample.net/", "http://" + "b" * 1_000_000 + ".org/fr/" + "c/" * 500_000, "http://" + "." * 1_000_000, many + "very.long.host.name.org/x/", "http://.org/fr/"]
+    out = urls.judge(index, got)
+    assert out.rule.tolist() == ["example.net/en/", "net/", "org/fr/", None, "a.very.long.host.name.org/x/", "org/fr/"]
+    short = fuzz()
+    assert urls.judge(index, short).rule.tolist() == [brute(u, [*urls.RULES, ("block", "a.very.long.host.name.org/x/")])[2] for u in short]
