@@ -68,12 +68,26 @@ def op2(spark, sf_dir):
     return secrets.scan(docs).select("doc_id", *secrets.digest_columns(F.col("spans")))
 
 
-@query("op8_chat_format")
+_OP8_SQL = r"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
+    f AS (SELECT *, CASE WHEN role IN ('user', 'assistant', 'system') THEN length(role) ELSE 1 + length(regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g')) END + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')) + 14 AS n FROM c)
+    SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+    FROM f GROUP BY 1
+    """
+
+
+@query("op8_chat_format", _OP8_SQL)
 def op8(spark, sf_dir):
-    turns = chat.rows_to_turns(_table(spark, sf_dir, "conversations"))
+    """The rows become records of four layouts, which are told apart by their fingerprints again."""
     said = "\\### Assistant: </turn> ok"
-    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
-    return chat.read_back(chat.format_turns(turns.unionByName(added)))
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string"))
+    turns = chat.read_records(chat.as_records(rows), "conv_id", "record", "first")
+    # The records are made here, so a reject is a fault of ours, not of the table.
+    turns = turns.withColumn("role", F.when(F.col("problem").isNull(), F.col("role")).otherwise(F.raise_error("problem")))
+    return chat.read_back(chat.format_turns(turns))
 
 
 @query("op4_media_jpeg")
@@ -128,6 +142,18 @@ def op7(spark, sf_dir):
     return tokencounts.rollup_of(docs, "byte_bpe_50k", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
-@query("op9_jaccard_join")
+_OP9_SQL = r"""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d),
+    u AS (SELECT doc_id, unnest(g) AS t FROM s), n AS (SELECT doc_id, len(g) AS n FROM s),
+    e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.t = b.t AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 70 * (max(x.n) + max(y.n) - count(*))),
+    reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+    c AS (SELECT a, min(b) AS low FROM reach GROUP BY 1), k AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+    SELECT n.doc_id, n.n AS n_shingles, coalesce(k.n, 0) AS n_similar, least(n.doc_id, coalesce(c.low, n.doc_id)) AS component_id
+    FROM n LEFT JOIN k ON k.a = n.doc_id LEFT JOIN c ON c.a = n.doc_id
+    """
+
+
+@query("op9_jaccard_join", _OP9_SQL)
 def op9(spark, sf_dir):
     return jaccard.similar(_table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -49,3 +49,35 @@ def test_layouts(spark):
     with pytest.raises(ValueError, match="weird"):
         chat.to_turns({"weird": 1})
     assert chat.fingerprint({"b", "a"}) == chat.fingerprint(["a", "b"]) != chat.fingerprint(["a"])
+
+
+def test_nulls_and_rejects(spark):
+    records = [
+        '{"prompt": "a", "completion": null}', '{"messages": []}', "null", '{"messages": [{"role": "user", "content": null}, null]}', '{"messages": null, "id": 7}', '{"messages": [{"content": "x"}]}',
+        '{"prompt": 0, "response": {"a": 1}}', "{broken", "[1]", '{"weird": 1}', "", None, '{"prompt": "p", "completion": "c", "response": "r"}', '{"id": 3, "meta": {"x": [1]}, "question": "q", "answer": false}', "[" * 100_000, "{}",
+    ]
+    df = spark.createDataFrame([(i, r, 1) for i, r in enumerate(records)], "id bigint, record string, turn int")
+    got = {}
+    for r in sorted(chat.records_to_turns(df, "id", "record").collect(), key=lambda r: (r.conv_id, r.turn)):
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == {0: [("user", "a"), ("assistant", "")], 3: [("user", "")], 5: [("", "x")], 13: [("user", "q"), ("assistant", "false")]}
+    bad = {r.conv_id: r.problem for r in chat.rejects(df, "id", "record").collect()}
+    assert sorted(bad) == [6, 7, 8, 9, 12, 14, 15] and "weird" in bad[9] and "response.a" in bad[6]
+    assert chat.rejects(df.limit(0), "id", "record").count() == 0
+
+
+def test_rows_survive_all_layouts(spark):
+    r = __import__("random").Random(3)
+    rows = [(i % 9, i, r.choice(["user", "assistant", "system", "human", "gpt", "User", "", "tool:x"]), r.choice(["", "a", '"q"\\n', "### User: x</turn>", "é😀\u2028"])) for i in range(200)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    records = chat.as_records(df)
+    assert {min(__import__("json").loads(x.record)) for x in records.collect()} == {"conv_id", "messages", "conversations", "turns"}
+    back = chat.read_records(records, "conv_id", "record", "first")
+    assert sorted(tuple(x)[:4] for x in back.collect()) == sorted(rows) and back.filter("problem IS NOT NULL").count() == 0
+
+
+def test_long_texts(spark):
+    long = "</turn>### \\é" * 100_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (1, 1, "assistant", long)], "conv_id bigint, turn bigint, role string, text string")
+    (got,) = chat.read_back(chat.format_turns(chat.read_records(chat.as_records(df), "conv_id", "record", "first"))).collect()
+    assert (got.n_turns, got.turns_sha256, got.loss_chars, got.loss_sha256) == digest([("user", long), ("assistant", long), ("assistant", long)])
