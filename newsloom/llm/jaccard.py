@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.shared import small, written
+from newsloom.llm.shared import free_name, small, written
 
 #: Links need this share, in percent, of the union.
 PERCENT = 70
@@ -53,7 +53,7 @@ _SLICE = 2 << 20
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-# --- tokens ----------------------------------------------------------------------------------------------------
+# -- tokens
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -118,7 +118,7 @@ def loss(n: int, percent: int = PERCENT) -> int:
     return n - -(-n * percent // 100)
 
 
-# --- signatures ------------------------------------------------------------------------------------------------
+# -- signatures
 
 
 def bands(n: int, percent: int = PERCENT) -> range:
@@ -168,7 +168,7 @@ def combinations(tokens: np.ndarray, band: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-# --- scans -----------------------------------------------------------------------------------------------------
+# -- scans
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -291,7 +291,7 @@ def _whole(chosen: DataFrame) -> DataFrame:
     return chosen.select("set", "weight", "block", "_t").mapInArrow(run, "set bigint, weight bigint, block bigint, tokens binary")
 
 
-# --- verification ----------------------------------------------------------------------------------------------
+# -- verification
 
 
 def overlaps(sets: list[np.ndarray], ones: list[int], others: list[int], percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray]]:
@@ -376,7 +376,7 @@ def _verify(tiled: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "set bigint, links bigint, least bigint")
 
 
-# --- components ------------------------------------------------------------------------------------------------
+# -- components
 
 
 def _union(edges: np.ndarray) -> dict[int, int]:
@@ -420,7 +420,7 @@ def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
         roots = following.select("a", "root")
 
 
-# --- the join --------------------------------------------------------------------------------------------------
+# -- the join
 
 
 def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -489,5 +489,6 @@ def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, that with the least key, with all its columns. Rows that share this key are all kept; so are rows without a key or without words."""
     judged = similar(docs, key=key, text=text)
-    gone = written(judged.filter(F.col(key) != F.col("component_id")).select(F.col(key).cast("long").alias("_nl_gone")).distinct(), "duplicates")
-    return docs.join(small(gone, 16), F.col(key).cast("long") == F.col("_nl_gone"), "left_anti")
+    name = free_name(docs, "_nl_gone")
+    gone = written(judged.filter(F.col(key) != F.col("component_id")).select(F.col(key).cast("long").alias(name)).distinct(), "duplicates")
+    return docs.join(small(gone, 16), docs[key].cast("long") == gone[name], "left_anti")

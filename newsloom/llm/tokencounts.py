@@ -66,7 +66,7 @@ class Rollup:
         """tokenizer: the version's name. path: its .tiktoken file."""
         self.spark, self.folder, self.tokenizer, self.path = spark, folder.rstrip("/"), tokenizer, path
 
-    # -- commits ------------------------------------------------------------------------------------------------
+    # commits
 
     def _names(self, kind: FileType) -> list[str]:
         fs, at = filesystem(self.folder)
@@ -88,7 +88,7 @@ class Rollup:
             f.write(str(step).encode())
         fs.move(f"{at}/.commit-{batch}", f"{at}/commit-{batch}")
 
-    # -- reading ------------------------------------------------------------------------------------------------
+    # reading
 
     def _read(self, what: str, schema: str) -> DataFrame:
         paths = [f"{self.folder}/{what}-{b}" for b in self.committed()]
@@ -106,7 +106,7 @@ class Rollup:
         last = self._read("state", _STATE).filter(F.col("tokenizer") == self.tokenizer).groupBy("doc_id").agg(F.max_by(F.struct("source", "lang", "tokens", "live"), "step").alias("s"))
         return last.filter("s.live").select("doc_id", "s.source", "s.lang", "s.tokens")
 
-    # -- writing ------------------------------------------------------------------------------------------------
+    # writing
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit a batch; False if it was committed before."""

@@ -45,7 +45,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(3)) == 1, F.lit(False))
 
 
-# --- lexicon ---------------------------------------------------------------------------------------------------
+# lexicon
 
 
 class Lexicon:
@@ -130,7 +130,7 @@ class Lexicon:
         return (0, stem) if stem is not None else got
 
 
-# --- features --------------------------------------------------------------------------------------------------
+# features
 
 
 class Scanner:
@@ -188,7 +188,7 @@ class Scanner:
         return enclosed or not _REPORTS.isdisjoint(bare), not _SECOND.isdisjoint(near)
 
 
-# --- learning --------------------------------------------------------------------------------------------------
+# learning
 
 
 class Model:
