@@ -1,7 +1,9 @@
 """The corpus pipeline: documents without toxic ones, without near duplicates, without benchmark contamination, with secrets masked, as SentencePiece ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-Rows keep their order of columns and, where a text changes, n_chars follows it. Null texts pass every stage and have no ids.
+Rows keep all their columns, in their order, whatever their names. Null and empty texts pass every stage and have no ids; rows
+with null ids are kept, also as near duplicates of others. Rows that share the least id of a group of near duplicates all stay. Very long texts go through whole. Empty tables give no rows; without labels of both kinds no
+text is toxic, without items none is contaminated.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import decontamination, jaccard, secrets, sentencepiece, toxicity
-from newsloom.llm.shared import fresh_dir
+from newsloom.llm.shared import free_name, fresh_dir
 
 TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
 
@@ -32,17 +34,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of two or more benchmark items go."""
-    marked = decontamination.mark(docs, _table(spark, sf_dir, "benchmark"))
-    return marked.filter(F.size("items") < 2).select(*docs.columns)
+    """Documents that hold a window of any benchmark item go."""
+    return decontamination.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of secrets, and of weak parts beside them, are masked; all documents stay."""
-    found = secrets.scan(docs, out="_spans")
-    text = F.when(F.size("_spans") > 0, secrets.redact(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    masked = found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.char_length(text)).otherwise(F.col("n_chars")).cast("long")).withColumn("text", text)
-    return masked.select(*docs.columns)
+    """Spans of secrets, and of weak parts beside them, are masked; all documents stay. Where a text changes, n_chars, if there is one, follows it."""
+    spans = free_name(docs, "spans")
+    found = secrets.scan(docs, out=spans)
+    some = F.size(spans) > 0
+    masked = found.withColumn("text", F.when(some, secrets.redact(F.col("text"), F.col(spans))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.when(some, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return masked.drop(spans)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
