@@ -7,9 +7,13 @@ their own, so a reader streams a file in bounded memory.
 A payload of at least ``least`` bytes that several captures share is stored once, by the capture with the largest id;
 the others are revisits: they keep the digest, the payload's length and the id of the record they refer to.
 
-Cases: null html is an empty payload, a null url an empty target; rows with a null id are captures of their own, with
-a null id, and never the target of a revisit unless no other has the payload. Rows that repeat an id with the largest
-id of their payload are all responses. An empty table gives no archives and no rows. Extra columns aren't archived.
+Record ids are unique in a folder. A response that revisits name is called by its capture and digest, all others by the place
+they are written at.
+
+Cases: null html is an empty payload, a null url an empty target; rows with a null id are responses of their own, with
+a null id, and never the target of a revisit. Rows that repeat an id with the largest id of their payload are all responses,
+and their revisits keep the capture's id but name no record. An empty table gives no archives and no rows. Extra columns aren't
+archived, whatever their names. A very long payload is in memory once as it is written and once as it is read.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from newsloom.llm.shared import filesystem, fresh_dir, small, written
 
 LEAST = 1000
 _CHUNK = 1 << 20
+#: Bytes given to the decompressor at once: what lies behind a member's end is copied, so it has to be little.
+_FED = 1 << 13
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 RECORD = pa.schema(
     [
@@ -62,37 +68,41 @@ def _unline(value: str) -> str:
     return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
 
 
-def transaction(row: int | None, url: str, payload: bytes, digest: str, target: int | None, serial: str) -> bytes:
-    """The three records of one capture. target: the id of the capture that holds the payload, for a revisit."""
-    main, uri = _uuid("response", row, serial), _line(url)
+def transaction(row: int | None, url: str, payload: bytes, digest: str, target: int | None, named: bool, place: str) -> bytes:
+    """The three records of one capture. target: the id of the capture that holds the payload, for a revisit. named: whether a revisit names its target's record, or a response is called so that revisits can name it."""
+    own = named and target is None
+    main, uri = _uuid("response", row, digest) if own else _uuid("record", place), _line(url)
     common = [("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", uri)]
     http = _HTTP % len(payload)
     if target is None:
         kind, body = [("WARC-Type", "response")], http + payload
     else:
-        kind, body = [("WARC-Type", "revisit"), ("WARC-Refers-To", _uuid("response", target, "")), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")], http
+        kind, body = [("WARC-Type", "revisit"), *([("WARC-Refers-To", _uuid("response", target, digest))] if named else []), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")], http
     request = b"GET / HTTP/1.1\r\n\r\n"
     fields = b"" if row is None else b"capture: %d\r\n" % row
     if target is not None:
         fields += b"refers-to-capture: %d\r\n" % target
     return b"".join(
         (
-            _member([("WARC-Type", "request"), ("WARC-Record-ID", _uuid("request", row, serial)), ("WARC-Concurrent-To", main), *common, ("Content-Type", "application/http;msgtype=request")], request),
+            _member([("WARC-Type", "request"), ("WARC-Record-ID", _uuid("request", place)), ("WARC-Concurrent-To", main), *common, ("Content-Type", "application/http;msgtype=request")], request),
             _member([*kind, ("WARC-Record-ID", main), *common, ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")], body),
-            _member([("WARC-Type", "metadata"), ("WARC-Record-ID", _uuid("metadata", row, serial)), ("WARC-Concurrent-To", main), *common, ("Content-Type", "application/warc-fields")], fields),
+            _member([("WARC-Type", "metadata"), ("WARC-Record-ID", _uuid("metadata", place)), ("WARC-Concurrent-To", main), *common, ("Content-Type", "application/warc-fields")], fields),
         )
     )
 
 
 def plan_captures(pages: DataFrame, least: int = LEAST, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """_row, _url, _payload, _digest, _target. Only ids and digests are shuffled; which capture refers to which is joined by id."""
+    """_row, _url, _payload, _digest, _target, _named. Only ids and digests are shuffled; which capture refers to which is joined by id."""
     base = pages.select(pages[key].cast("long").alias("_row"), F.coalesce(pages[url].cast("string"), F.lit("")).alias("_url"), F.encode(F.coalesce(pages[html].cast("string"), F.lit("")), "UTF-8").alias("_payload"))
     base = base.withColumn("_digest", F.sha1("_payload"))
-    thin = written(base.filter((F.octet_length("_payload") >= least) & F.col("_row").isNotNull()).select("_row", "_digest"), "warc-digests")
-    largest = thin.groupBy("_digest").agg(F.max("_row").alias("_target"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    revisits = written(thin.distinct().join(largest, "_digest").filter("_row <> _target").select("_row", F.col("_digest").alias("_d"), "_target"), "warc-revisits")
-    rows = base.join(small(revisits.withColumnRenamed("_row", "_r"), 80), (F.col("_row") == F.col("_r")) & (F.col("_digest") == F.col("_d")), "left")
-    return rows.select("_row", "_url", "_payload", "_digest", "_target")
+    thin = base.filter((F.octet_length("_payload") >= least) & F.col("_row").isNotNull()).groupBy("_row", "_digest").agg(F.count("*").alias("_n"))
+    thin = written(thin, "warc-digests")
+    largest = thin.groupBy("_digest").agg(F.max(F.struct("_row", "_n")).alias("_t"), F.count("*").alias("_k")).filter("_k > 1").select("_digest", "_t")
+    # A target's record can be named if only one row has it.
+    notes = thin.join(largest, "_digest").select("_row", F.col("_digest").alias("_d"), F.when(F.col("_row") != F.col("_t._row"), F.col("_t._row")).alias("_target"), (F.col("_t._n") == 1).alias("_named"))
+    notes = written(notes, "warc-revisits").withColumnRenamed("_row", "_r")
+    rows = base.join(small(notes, 100), (F.col("_row") == F.col("_r")) & (F.col("_digest") == F.col("_d")), "left")
+    return rows.select("_row", "_url", "_payload", "_digest", "_target", F.coalesce("_named", F.lit(False)).alias("_named"))
 
 
 def write_archives(captures: DataFrame, folder: str) -> int:
@@ -102,18 +112,12 @@ def write_archives(captures: DataFrame, folder: str) -> int:
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         fs, at = filesystem(folder)
         fs.create_dir(at)
-        n, stream, seen = 0, None, {}
+        n, stream = 0, None
         for batch in batches:
-            for row, url, payload, digest, target in zip(*(c.to_pylist() for c in batch.columns)):
+            for row, url, payload, digest, target, named in zip(*(c.to_pylist() for c in batch.columns)):
                 if stream is None:
                     stream = fs.open_output_stream(f"{at}/.part-{part:05d}-{attempt}", compression=None)
-                # A row that is repeated needs an id of its own; the first one's is what revisits name.
-                serial = "" if target is None and row is not None and (row, digest) not in seen else f"{part}.{n}"
-                if target is None and row is not None and len(payload) >= LEAST:
-                    seen[row, digest] = True
-                    if len(seen) > 100_000:
-                        seen.clear()
-                stream.write(transaction(row, url, payload, digest, target, serial))
+                stream.write(transaction(row, url, payload, digest, target, named, f"{part}.{n}"))
                 n += 1
         if stream is not None:
             stream.close()
@@ -125,23 +129,21 @@ def write_archives(captures: DataFrame, folder: str) -> int:
 
 def _records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header and body of each gzip member, streamed."""
-    z, parts, rest = zlib.decompressobj(31), [], b""
-    while True:
-        data = rest or stream.read(_CHUNK)
-        if not data:
-            break
-        parts.append(z.decompress(data))
-        rest = z.unused_data
-        if z.eof:
-            raw = b"".join(parts)
-            z, parts = zlib.decompressobj(31), []
-            head, _, body = raw.partition(b"\r\n\r\n")
-            lines = head.decode("utf-8", "surrogatepass").split("\r\n")
-            headers = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
-            yield headers, body[: int(headers["content-length"])]
-        else:
-            rest = b""
-    if parts and any(parts):
+    z, parts = zlib.decompressobj(31), []
+    while data := memoryview(stream.read(_CHUNK)):
+        at = 0
+        while at < len(data):
+            fed = data[at : at + _FED]
+            parts.append(z.decompress(fed))
+            at += len(fed) - len(z.unused_data)
+            if z.eof:
+                raw = b"".join(parts)
+                z, parts = zlib.decompressobj(31), []
+                head, _, body = raw.partition(b"\r\n\r\n")
+                lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+                headers = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
+                yield headers, body[: int(headers["content-length"])]
+    if parts:
         raise ValueError("the archive ends within a record")
 
 

@@ -67,3 +67,28 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.round_trip(df).count() == 0
     assert warc.read_archives(spark, fresh_dir(spark, "none")).count() == 0
+
+
+def test_record_ids_are_unique(spark, tmp_path):
+    """Small rows that repeat, the same id with two payloads, repeated targets: in one file and in several."""
+    big, other = "x" * 3000, "y" * 3000
+    data = [(1, "u", "small")] * 40 + [(5, "u", big), (5, "u", other), (4, "u", big), (3, "u", other)] + [(9, "u", "z" * 2000)] * 3 + [(8, "u", "z" * 2000), (None, "u", big), (None, "u", big)]
+    for parts in (1, 5):
+        folder = f"file://{tmp_path}/{parts}"
+        df = spark.createDataFrame(data, "page_id bigint, url string, html string").repartition(parts)
+        assert warc.write_archives(warc.plan_captures(df), folder) == len(data)
+        ids = [r.record_id for r in warc.read_archives(spark, folder).collect()]
+        assert len(ids) == 3 * len(data) == len(set(ids))
+        got = warc.assemble(warc.read_archives(spark, folder)).selectExpr("metadata.capture_id", "response.*", "metadata.refers_to").collect()
+        named = {r.capture_id: r.refers_to_id for r in got if r.warc_type == "revisit"}
+        assert set(named) == {4, 3, 8} and named[8] is None and {named[4], named[3]} <= set(ids)
+        assert sorted(str((r.capture_id, r.payload_bytes, r.payload_digest, r.warc_type, r.refers_to)) for r in got) == brute(data)
+
+
+def test_long_payloads_and_many_small_ones(spark):
+    """Payloads of megabytes, and members smaller than what is read at once."""
+    data = [(1, "u", "é" * 1_500_000), (2, "u", "é" * 1_500_000)] + [(i, "u" * i, str(i)) for i in range(3, 900)]
+    df = spark.createDataFrame(data, "page_id bigint, url string, html string").coalesce(1)
+    got = warc.round_trip(df).selectExpr("metadata.capture_id", "response.payload_bytes", "response.payload_digest", "response.warc_type", "metadata.refers_to").collect()
+    same = sorted(str(tuple(r)) for r in got) == brute(data)
+    assert same
