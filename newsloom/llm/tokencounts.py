@@ -9,12 +9,13 @@ Commits are idempotent. A batch writes to a folder named by its id, and a marker
 batch whose marker is there does nothing; one that failed half-way is overwritten when it is tried again. Batches
 are to be applied one after another; readers see whole batches only.
 
-Changes are rows (doc_id, source, lang, op, text): op ``upsert`` (insert or revise) or ``delete``. Within one batch the last row of a
-document, by ``seq``, counts; of equal ones the least by op, source, lang, text.
+Changes are rows (doc_id, source, lang, text). Columns that the caller names say what a row does, ``upsert`` (insert or revise) or ``delete``,
+and which of a batch's rows of a document is its last, which counts; of equal ones the least by what it does, source, lang, and the text's hash.
 
 Cases: a null or empty text has 0 tokens and counts as a document. Null source and lang are groups of their own. Rows with a
 null doc_id can't be revised: each is an insert of its own, deletes of null or unknown ids change nothing. A document that moves to
-another source or language leaves its old group. A group that falls to 0 documents is left out. Empty batches commit. Extra columns are ignored.
+another source or language leaves its old group. A group that falls to 0 documents is left out. Empty batches commit. Extra columns are ignored, also such as are called op or seq, unless they are named.
+A very long text is one string in one task; the tokenizer's time grows with its length.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyarrow.fs import FileSelector, FileType
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.shared import filesystem, fresh_dir
@@ -108,13 +109,13 @@ class Rollup:
 
     # writing
 
-    def apply(self, batch: str, changes: DataFrame) -> bool:
-        """Commit a batch; False if it was committed before."""
+    def apply(self, batch: str, changes: DataFrame, *, op: str | None = None, seq: str | None = None) -> bool:
+        """Commit a batch; False if it was committed before. op, seq: columns with what a row does (else all are upserts) and with its place (else all are equal)."""
         done = self.committed()
         if batch in done:
             return False
         step = len(done) + 1
-        rows = changes.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("source", "lang")), (F.col("op") if "op" in changes.columns else F.lit("upsert")).alias("op"), (F.col("seq") if "seq" in changes.columns else F.lit(0)).cast("long").alias("seq"), F.col("text").cast("string").alias("text"))
+        rows = changes.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("source", "lang")), (F.lit("upsert") if op is None else F.col(op)).alias("op"), (F.lit(0) if seq is None else F.col(seq)).cast("long").alias("seq"), F.col("text").cast("string").alias("text"))
         rows = rows.filter(F.col("doc_id").isNotNull() | (F.col("op") != "delete"))
         # Counted where the texts are; only the counts are shuffled.
         counted = count_tokens(rows.withColumn("_h", F.xxhash64("text")), self.path)
@@ -148,9 +149,27 @@ class Rollup:
         into._mark(name, 1)
 
 
+def squeezed(text: Column) -> Column:
+    """The text with each run of white space as its first character alone."""
+    return F.regexp_replace(text, r"([\x20\x09-\x0D])[\x20\x09-\x0D]+", "$1")
+
+
 def rollup_of(docs: DataFrame, tokenizer: str, path: str) -> DataFrame:
-    """Totals of one table, committed as a first batch to a new store, and once more, which changes nothing."""
-    store = Rollup(docs.sparkSession, fresh_dir(docs.sparkSession, "rollup"), tokenizer, path)
-    store.apply("first", docs)
-    store.apply("first", docs)
+    """Totals of a table after three batches: all rows are inserted; texts with runs of white space are revised to have none; of rows with equal
+    texts, as they came, all but those with the least id are deleted. Each batch is applied twice, which changes nothing. Rows without an id, or with
+    null text, are never deleted."""
+    spark = docs.sparkSession
+    store = Rollup(spark, fresh_dir(spark, "rollup"), tokenizer, path)
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.col("text").cast("string").alias("text"))
+    hashed = thin.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("_h"))
+    # Pre-aggregated where the texts are, so a text with many copies sends one row a task.
+    least = hashed.groupBy("_h").agg(F.min("doc_id").alias("_low"), F.count("*").alias("_n")).filter("_n > 1")
+    copies = hashed.join(least, "_h").filter("doc_id > _low").select("doc_id").distinct()
+    for name, rows, op in (
+        ("inserted", thin, None),
+        ("revised", thin.filter(F.col("doc_id").isNotNull() & (squeezed(F.col("text")) != F.col("text"))).withColumn("text", squeezed(F.col("text"))), None),
+        ("deleted", copies.select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("text"), F.lit("delete").alias("what")), "what"),
+    ):
+        store.apply(name, rows, op=op)
+        store.apply(name, rows, op=op)
     return store.totals()

@@ -42,8 +42,8 @@ def test_against_recounting(spark, store):
             key = r.choice([None, *range(12)])
             rows.append((key, r.choice(["a", "b", None]), r.choice(["en", None]), r.choice(["upsert", "upsert", "delete"]), r.randint(0, 3), r.choice([None, "", "hello world", "x" * r.randint(1, 50)]), "extra"))
         df = spark.createDataFrame(rows, SCHEMA)
-        assert store.apply(f"b{step}", df)
-        assert not store.apply(f"b{step}", df)
+        assert store.apply(f"b{step}", df, op="op", seq="seq")
+        assert not store.apply(f"b{step}", df, op="op", seq="seq")
         best = {}
         order = lambda v: (v is not None, v)
         for row in rows:
@@ -80,7 +80,7 @@ def test_failed_batch_is_tried_again(spark, store):
     into = tc.Rollup(spark, fresh_dir(spark, "t"), "v1", PATH)
     store.compact(into)
     assert read(into) == read(store)
-    assert into.apply("z", spark.createDataFrame([(2, None, None, "delete", 0, None, "")], SCHEMA)) and read(into) == totals([("b", "en", "three")])
+    assert into.apply("z", spark.createDataFrame([(2, None, None, "delete", 0, None, "")], SCHEMA), op="op") and read(into) == totals([("b", "en", "three")])
 
 
 def test_versions_are_apart_and_empty_batches_commit(spark, store):
@@ -90,3 +90,22 @@ def test_versions_are_apart_and_empty_batches_commit(spark, store):
     other = tc.Rollup(spark, store.folder, "v2", PATH)
     other.apply("x2", one)
     assert sorted((r.tokenizer, r.documents) for r in store.totals().collect()) == [("v1", 1), ("v2", 1)]
+
+
+def test_query_against_recounting(spark, tmp_path):
+    """Inserts, revisions and deletes of the registered query; columns called op and seq, a text of a megabyte, repeated rows."""
+    import re
+
+    from newsloom.llm.queries import QUERIES
+
+    long = "word  " * 160_000 + "a" * 50_000
+    rows = [(1, "a", "en", "x  y", "delete", 5), (2, "a", "en", "x  y", "delete", 1), (3, "b", None, "x y", "?", None), (4, None, "en", None, "delete", 1), (5, "a", "en", "", None, 1), (6, "a", "en", "", None, 1), (None, "a", "en", "x  y", None, 1), (7, "b", "de", long, "", 2), (8, "b", "de", "tab\t\n end", "", 2), (9, "b", "de", "q", "", 1), (9, "b", "de", "q", "", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string, op string, seq int")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    live, texts = [], {}
+    for key, source, lang, text, _, _ in dict.fromkeys(rows):
+        if key is not None and text is not None and texts.setdefault(text, key) != key:
+            continue
+        live.append((source, lang, text if key is None or text is None else re.sub(r"([ \t-\r])[ \t-\r]+", r"\1", text)))
+    got = {(r.source, r.lang): (r.documents, r.tokens) for r in QUERIES["op7_token_counts"](spark, str(tmp_path)).collect()}
+    assert got == totals(live)
