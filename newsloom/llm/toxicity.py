@@ -11,9 +11,10 @@ document are the weights of exact terms, of misspelled ones, of quoted ones, and
 regression over the sample, fitted by Newton's method, gives the score. So that it can't learn from what is held out, rows whose
 crc32(doc_id) mod 3 is 1 are left out of the sample.
 
-Cases: null and empty texts have no terms and get the score of that. A document labelled twice is toxic if one label
+Cases: null and empty texts have no terms and get the score of that. An id that documents repeat is learned from once, by its least text; one that is labelled twice is toxic if one label
 says so; labels that are null are left out. Without labels of both kinds every score is 0. Rows with a null id are not
-held out. Rows that repeat are scored each for itself, extra columns ignored. An empty table gives no rows.
+held out. Rows that repeat are scored each for itself; extra columns, whatever their names, are ignored (keep_clean keeps them). A very long
+text is scanned in time that grows with its length and the number of its different terms. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -254,7 +255,8 @@ def fit(features: np.ndarray, labels: np.ndarray, ridge: float = 0.05, rounds: i
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, terms: int = TERMS) -> Model:
     """Fit on at most ``size`` rows of each label. Their features, not their texts, come to the driver."""
     sample = F.broadcast(sample_of(labels, size))  # at most 2 * size rows
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t")).join(sample, "doc_id").select("_t", F.col("toxic").cast("int").alias("toxic"))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t")).join(sample, "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("_t").alias("_t"), F.max("toxic").cast("int").alias("toxic")).select("_t", "toxic")
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Model(Lexicon([]), None)

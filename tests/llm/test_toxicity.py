@@ -69,3 +69,49 @@ def test_cases(spark):
     kept = tx.keep_clean(docs, model)
     assert kept.columns == docs.columns and sorted(r.score for r in kept.collect()) == [1, 1, 2]
     assert tx.score(docs.limit(0), model).count() == 0 and tx.keep_clean(docs.limit(0), model).count() == 0
+
+
+def brute_score(terms, weights, text):
+    """The score from the definitions: edit distances to all terms, contexts by words, no automaton."""
+    lower = (text or "").lower()
+    found = {}
+    words = [(m[0], m.start(), m.end()) for m in tx._WORD.finditer(lower)]
+    for w in {w for w, _, _ in words}:
+        fits = [(0, -weight, k) for k, (t, kind, weight) in enumerate(terms) if kind == "word" and t == w]
+        if not fits:
+            fits = [(0, -len(t), k) for k, (t, kind, _) in enumerate(terms) if kind == "stem" and w.startswith(t)]
+        if not fits:
+            fits = [(1, -weight, k) for k, (t, kind, weight) in enumerate(terms) if kind == "word" and len(t) >= 5 and distance(w, t) == 1]
+        if fits:
+            found[w] = min(fits)[0], terms[min(fits)[2]][2]
+    sums = {"exact": 0.0, "fuzzy": 0.0, "quoted": 0.0}
+    n = 0
+    context = tx.Scanner(tx.Lexicon([])).context
+    for w, a, b in words:
+        if w in found:
+            edits, weight = found[w]
+            calm, harsh = context(lower, a, b)
+            sums["quoted" if calm else "fuzzy" if edits else "exact"] += weight * (1.5 if harsh and not calm else 1)
+            n += 1
+    x = [min(sums["exact"], 12), min(np.log1p(sums["exact"]), 5), np.log1p(sums["fuzzy"]), np.log1p(sums["quoted"]), min(1, 20 * n / (1 + len({w for w, _, _ in words})))]
+    return 1 / (1 + np.exp(-(weights[0] + np.dot(x, weights[1:]))))
+
+
+def test_scores_against_brute_force(spark):
+    r = random.Random(12)
+    terms = sorted([("idiot", "word", 5.0), ("idiots", "word", 4.5), ("moron", "word", 4.0), ("scum", "word", 3.0), ("worth", "stem", 2.5), ("trash", "word", 3.5)])
+    weights = np.array([-4.0, 0.5, 0.7, 0.9, -0.3, 1.1])
+    bits = ["idiot", "idi0t", "Idiots", "idot", "moron", "morons", "scum", "scumm", "worthless", "trahs", "you", "said", '"', "“", "”", "plain", "words", "a_b", "é", "\n", "trash,", "(scum)", "Du"]
+    texts = [None, "", *(" ".join(r.choice(bits) for _ in range(r.randint(1, 30))) for _ in range(300)), "idiot plain you " * 70_000]
+    df = spark.createDataFrame([(i, t, "x", 0.5) for i, t in enumerate(texts)], "doc_id bigint, text string, predicted string, score double")
+    got = {x.doc_id: x for x in tx.score(df, tx.Model(tx.Lexicon(terms), weights)).collect()}
+    for i, t in enumerate(texts):
+        want = brute_score(terms, weights, t)
+        assert abs(got[i].score - want) < 1e-9 and got[i].predicted == (got[i].score >= 0.7), (i, (t or "")[:200])
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    docs = spark.createDataFrame([(i, f"awful{i % 2} word" if i % 2 else "fine", "x") for i in range(60)] * 3 + [(1, "zzz", "y")] * 500, "doc_id bigint, text string, toxic string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    one, two = tx.train(docs, labels), tx.train(docs.dropDuplicates(["doc_id", "text"]), labels)
+    assert np.allclose(one.weights, two.weights) and one.lexicon.terms == two.lexicon.terms
