@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +36,34 @@ def slot_confidence(slots: list[Column], confidences: Column) -> Column:
     return 0.6 * filled + 0.4 * F.coalesce(confidences, F.lit(0.5))
 
 
-def suppress(df: DataFrame, keys: list[str], at: str, hours: float) -> DataFrame:
-    """Rows that come later than the window after the last row of the same keys; each row opens the window anew, kept or not."""
-    before = F.lag(at).over(Window.partitionBy(*keys).orderBy(at, *[c for c in df.columns if c.endswith("_id")]))
-    return df.withColumn("_p", before).filter(F.col("_p").isNull() | (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col("_p").cast("timestamp")) > int(hours * 3600e6))).drop("_p")
+def suppress(df: DataFrame, keys: list[str], at: str, hours: str | float, order: list[str] = ()) -> DataFrame:
+    """Alerts among matches: of each key the first one, and each that comes later than the window after the last alert. A match that is suppressed opens no window.
+
+    The rows of a key pass in order, sorted on disk if need be; all that is kept is the last alert's time. hours: a number, or a column. order: what breaks ties of time.
+    """
+    width = F.col(hours) if isinstance(hours, str) else F.lit(hours)
+    rows = df.select("*", F.unix_micros(F.col(at).cast("timestamp")).alias("_t"), (width * 3600e6).cast("long").alias("_w"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, at, *order)
+    n = len(df.columns)
+    same = [df.columns.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            keep = []
+            parts = [batch.column(i).to_pylist() for i in same]
+            for t, w, *key in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), *parts):
+                fresh = now is None or key != now
+                # A row without a time has no window and is no one's last alert.
+                due = t is not None and (fresh or last is None or t - last > w)
+                if fresh:
+                    now, last = key, None
+                if due:
+                    last = t
+                keep.append(due)
+            yield batch.select(list(range(n))).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, df.schema)
 
 
 def metric_series(df: DataFrame, name: Column, geography: Column, unit: Column, period: Column, value: Column) -> DataFrame:

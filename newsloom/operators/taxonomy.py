@@ -8,11 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def keyword_score(body: Column, high: Sequence[str], medium: Sequence[str], *, weights: tuple[float, float] = (0.3, 0.15), bonus: float = 0.1) -> tuple[Column, Column]:
+def distinct_words(body: Column) -> Column:
+    """A text's different words in lower case: runs of letters, digits and underscores."""
+    return F.array_distinct(F.split(F.lower(body), r"[^\p{L}\p{N}_]+"))
+
+
+def hits(words: Column, keywords: Sequence[str]) -> Column:
+    """How many of the keywords are among the words."""
+    return sum((F.array_contains(words, k).cast("int") for k in keywords), F.lit(0))
+
+
+def keyword_score(n_high: Column, n_medium: Column, *, weights: tuple[float, float] = (0.3, 0.15), bonus: float = 0.1) -> tuple[Column, Column]:
     """Score and number of distinct keywords that occur as whole words; a bonus for two or more."""
-    lower = F.lower(body)
-    hit = lambda k: lower.rlike(rf"(?U)\b{k}\b").cast("int")
-    n_high, n_medium = sum(map(hit, high), F.lit(0)), sum(map(hit, medium), F.lit(0))
     n = n_high + n_medium
     return weights[0] * n_high + weights[1] * n_medium + F.when(n >= 2, bonus).otherwise(0.0), n
 

@@ -31,16 +31,13 @@ def entity_mask(spark, sf_dir):
     return rows.select("doc_id", "masked", (tx.replace_all(F.col("masked"), [(b, a) for a, b in pairs]) == F.col("text")).alias("same"))
 
 
-@query("statement_normalize", r"""SELECT conv_id, turn, regexp_replace(lower(trim(regexp_replace(left(text, 80), '\s+', ' ', 'g'))), '[.,;:!?]+$', '') AS statement FROM conversations""")
-def statement_normalize(spark, sf_dir):
-    s = F.regexp_replace(F.lower(F.trim(F.regexp_replace(F.substring("text", 1, 80), r"\s+", " "))), r"[.,;:!?]+$", "")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", s.alias("statement"))
+_SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
-@query("statement_normalize_whole")
-def statement_normalize_whole(spark, sf_dir):
-    """Whole statements with all ASCII punctuation taken off their ends, as in the reference; statement_normalize and its SQL take 80 characters."""
-    s = F.regexp_replace(F.lower(F.trim(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]+", " "))), r"[!-/:-@\[-`{-~]+\z", "")
+@query("statement_normalize", rf"""SELECT conv_id, turn, regexp_replace(lower(trim(regexp_replace(text, '[{_SPACE}]+', ' ', 'g'))), '[!-/:-@\[-`{{-~]+$', '') AS statement FROM conversations""")
+def statement_normalize(spark, sf_dir):
+    """Whole statements, white space as one blank, with all ASCII punctuation taken off their ends."""
+    s = F.regexp_replace(F.lower(F.trim(F.regexp_replace("text", rf"[{_SPACE}]+", " "))), r"[!-/:-@\[-`{-~]+\z", "")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", s.alias("statement"))
 
 

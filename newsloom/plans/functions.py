@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from newsloom.catalog import query, table
 from newsloom.functions import udfs
 from newsloom.functions.text import acronym
 from newsloom.operators import extraction, resolution
+from newsloom.storage import shared_folder
 from newsloom.streaming import alerts
 
 
@@ -50,7 +50,7 @@ def stream_digest(spark, sf_dir):
     """The stream is run to its end into a memory table, without a bound on lateness but the data's own."""
     name = f"digest_{uuid.uuid4().hex}"
     rows = alerts.digest(alerts.event_stream(spark, sf_dir, "events.parquet"), late="0 seconds")
-    run = rows.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
+    run = rows.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select(F.to_date("window.start").alias("day"), "event_type", "items", "total")
 

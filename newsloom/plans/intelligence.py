@@ -27,14 +27,13 @@ _KEYWORD_SQL = (
 
 
 def _keyword_rows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    parts = []
-    for topic, (high, medium) in _TOPICS.items():
-        score, n = taxonomy.keyword_score(F.col("text"), high, medium)
-        prior = F.when(F.col("source").isin("src1", "src2"), 0.05).otherwise(0.0)
-        parts.append(F.struct(F.lit(topic).alias("topic"), n.alias("n"), score.alias("score"), taxonomy.confidence(0.1, (score, prior), (0.6, 0.05)).alias("confidence")))
-    # One scan scores all topics.
-    return docs.select("doc_id", F.explode(F.array(*parts)).alias("t")).select("doc_id", "t.*").filter("n > 0")
+    # Each text is split once; the topics look into its words.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", taxonomy.distinct_words(F.col("text")).alias("words"))
+    hits = F.array(*(F.struct(F.lit(topic).alias("topic"), taxonomy.hits(F.col("words"), high).alias("h"), taxonomy.hits(F.col("words"), medium).alias("m")) for topic, (high, medium) in _TOPICS.items()))
+    rows = docs.select("doc_id", "source", F.explode(F.filter(hits, lambda t: t["h"] + t["m"] > 0)).alias("t")).select("doc_id", "source", "t.*")
+    score, n = taxonomy.keyword_score(F.col("h"), F.col("m"))
+    prior = F.when(F.col("source").isin("src1", "src2"), 0.05).otherwise(0.0)
+    return rows.select("doc_id", "topic", n.alias("n"), score.alias("score"), taxonomy.confidence(0.1, (score, prior), (0.6, 0.05)).alias("confidence"))
 
 
 @query("keyword_scores", f"{_KEYWORD_SQL} SELECT doc_id, topic, n::INT AS n, round(score, 6) AS score, round(confidence, 6) AS confidence FROM c")
@@ -151,13 +150,14 @@ def rule_matches(spark, sf_dir):
 
 @query(
     "rule_alerts",
-    f"""WITH {_ALERTS}, p AS (SELECT *, lag(ts) OVER (PARTITION BY rule_id, user_id ORDER BY ts, event_id) AS before FROM a)
-    SELECT event_id, rule_id, sha256(rule_id || '|' || event_id) AS alert_id FROM p WHERE before IS NULL OR epoch_us(ts) - epoch_us(before) > hours * 3600000000""",
+    f"""WITH RECURSIVE {_ALERTS}, u AS (SELECT rule_id, user_id, ts, hours, min(event_id) AS event_id FROM a GROUP BY ALL),
+    n AS MATERIALIZED (SELECT u.*, v.ts AS due, v.event_id AS following FROM (SELECT *, ts + hours * INTERVAL 1 HOUR AS until FROM u) u ASOF LEFT JOIN u v ON u.rule_id = v.rule_id AND u.user_id = v.user_id AND u.until < v.ts),
+    k AS (SELECT rule_id, user_id, arg_min(event_id, ts) AS event_id FROM u GROUP BY ALL UNION ALL SELECT k.rule_id, k.user_id, n.following FROM k JOIN n ON n.event_id = k.event_id AND n.rule_id = k.rule_id WHERE n.following IS NOT NULL)
+    SELECT event_id, rule_id, sha256(rule_id || '|' || event_id) AS alert_id FROM k""",
 )
 def rule_alerts(spark, sf_dir):
-    found = _alerts(spark, sf_dir)
-    parts = [ev.suppress(found.filter(F.col("rule_id") == r), ["rule_id", "user_id"], "ts", h) for r, h in (("big_purchase", 24), ("any_error", 6))]
-    return parts[0].unionByName(parts[1]).select("event_id", "rule_id", sid("rule_id", "event_id").alias("alert_id"))
+    found = _alerts(spark, sf_dir).select("rule_id", "user_id", "event_id", "ts", "hours")
+    return ev.suppress(found, ["rule_id", "user_id"], "ts", "hours", ["event_id"]).select("event_id", "rule_id", sid("rule_id", "event_id").alias("alert_id"))
 
 
 @query(
@@ -209,9 +209,9 @@ def entity_names(spark, sf_dir):
     return rows.join(first, "name", "left").select("c_custkey", F.coalesce(F.col("id").cast("string"), F.lit("unknown")).alias("entity_id"))
 
 
-@query("date_spine", "WITH c AS (SELECT ts::DATE AS day, count(*) AS n FROM events WHERE user_id = 1 GROUP BY 1), s AS (SELECT unnest(range(0, 14)) AS k, (SELECT max(day) FROM c) AS last) SELECT (last - k::INT)::DATE AS day, coalesce(n, 0) AS n FROM s LEFT JOIN c ON c.day = (last - k::INT)::DATE")
+@query("date_spine", "WITH c AS (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1), s AS (SELECT unnest(range(0, 14)) AS k, (SELECT max(day) FROM c) AS last) SELECT (last - k::INT)::DATE AS day, coalesce(n, 0) AS n FROM s LEFT JOIN c ON c.day = (last - k::INT)::DATE")
 def date_spine(spark, sf_dir):
-    return ev.date_spine(table(spark, sf_dir, "events").filter("user_id = 1"), "ts", 14)
+    return ev.date_spine(table(spark, sf_dir, "events"), "ts", 14)
 
 
 @query(

@@ -110,53 +110,31 @@ _SHINGLES = "list_distinct(list_transform(range(1, greatest(length(t) - 1, 2)),
 
 @query(
     "shingle_jaccard",
-    f"""WITH d AS (SELECT item_id, lower(text) AS t FROM benchmark), s AS (SELECT item_id, {_SHINGLES} AS g FROM d), u AS (SELECT item_id, unnest(g) AS x FROM s), n AS (SELECT item_id, len(g) AS n FROM s),
-    c AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS k FROM u a JOIN u b ON a.x = b.x AND a.item_id < b.item_id GROUP BY ALL)
-    SELECT a, b, k AS common, round(k / (x.n + y.n - k), 6) AS jaccard FROM c JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b WHERE k / (x.n + y.n - k) >= 0.25""",
+    f"""WITH s AS (SELECT doc_id, {_SHINGLES} AS g FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL)), i AS (SELECT item_id, {_SHINGLES} AS g FROM (SELECT item_id, lower(text) AS t FROM benchmark WHERE text IS NOT NULL)),
+    c AS (SELECT doc_id, item_id, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s) a JOIN (SELECT item_id, len(g) AS n, unnest(g) AS x FROM i) b USING (x) GROUP BY ALL)
+    SELECT doc_id, item_id, k AS common, round(k / (n + m - k), 6) AS jaccard FROM c WHERE k / (n + m - k) >= 0.25""",
 )
 def shingle_jaccard(spark, sf_dir):
-    return novelty.shingle_pairs(table(spark, sf_dir, "benchmark"), "item_id", "text", 0.25)
+    """All documents against all items."""
+    return novelty.shingle_matches(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"), "item_id", "text", 0.25)
 
 
-@query(
-    "minhash_sig",
-    f"""WITH d AS (SELECT item_id, lower(text) AS t FROM benchmark), u AS (SELECT item_id, unnest({_SHINGLES}) AS g FROM d),
-    h AS (SELECT item_id, i, min(('0x' || substr(md5(encode(g) || unhex(printf('%02x000000', i))), 1, 8))::BIGINT) AS m FROM u, range(0, 16) AS r(i) GROUP BY ALL)
-    SELECT item_id, string_agg(m::VARCHAR, ',' ORDER BY i) AS signature FROM h GROUP BY item_id""",
-)
+@query("minhash_sig")
 def minhash_sig(spark, sf_dir):
-    got = fingerprint.minhash(table(spark, sf_dir, "benchmark"), "item_id", fingerprint.shingles(F.col("text")), 16)
-    return got.select("item_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
+    """All documents, 128 permutations; too many digests for SQL, so tests hold it against brute force."""
+    got = fingerprint.minhash(table(spark, sf_dir, "documents"), "doc_id", F.when(F.length("text") > 0, fingerprint.shingles(F.col("text"))), 128)
+    return got.select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
 
 
 @query(
     "simhash_sig",
-    r"""WITH w AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS w FROM benchmark),
-    v AS (SELECT item_id, i, sum(CASE WHEN (('0x' || substr(md5(w), 1 + i // 4, 1))::INT >> (3 - i % 4)) & 1 = 1 THEN 1 ELSE -1 END) > 0 AS b FROM w, range(0, 64) AS r(i) GROUP BY ALL),
-    q AS (SELECT item_id, i // 4 AS j, sum(CASE WHEN b THEN 1 << (3 - (i % 4))::INT ELSE 0 END)::INT AS d FROM v GROUP BY ALL)
-    SELECT item_id, string_agg(lower(to_hex(d)), '' ORDER BY j) AS simhash FROM q GROUP BY item_id""",
+    r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS w FROM documents),
+    c AS (SELECT w, i, CASE WHEN (('0x' || substr(md5(w), 1 + i // 4, 1))::INT >> (3 - i % 4)) & 1 = 1 THEN 1 ELSE -1 END AS v FROM (SELECT DISTINCT w FROM w), range(0, 64) AS r(i)),
+    v AS (SELECT doc_id, i, sum(v) > 0 AS b FROM w JOIN c USING (w) GROUP BY ALL),
+    q AS (SELECT doc_id, i // 4 AS j, sum(CASE WHEN b THEN 1 << (3 - (i % 4))::INT ELSE 0 END)::INT AS d FROM v GROUP BY ALL)
+    SELECT doc_id, string_agg(lower(to_hex(d)), '' ORDER BY j) AS simhash FROM q GROUP BY doc_id""",
 )
 def simhash_sig(spark, sf_dir):
-    tokens = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    return fingerprint.simhash(table(spark, sf_dir, "benchmark"), "item_id", tokens)
-
-
-@query("shingle_documents")
-def shingle_documents(spark, sf_dir):
-    """All documents against all items, where shingle_jaccard and its SQL have the items only."""
-    return novelty.shingle_matches(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"), "item_id", "text", 0.25)
-
-
-@query("minhash_documents")
-def minhash_documents(spark, sf_dir):
-    """All documents with the reference's 128 permutations, where minhash_sig and its SQL have 16 over the items."""
-    got = fingerprint.minhash(table(spark, sf_dir, "documents"), "doc_id", F.when(F.length("text") > 0, fingerprint.shingles(F.col("text"))), 128)
-    return got.select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
-
-
-@query("simhash_documents")
-def simhash_documents(spark, sf_dir):
-    """All documents with words, where simhash_sig and its SQL have the items."""
+    """All documents with words."""
     tokens = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     return fingerprint.simhash(table(spark, sf_dir, "documents"), "doc_id", tokens)
-

@@ -107,7 +107,7 @@ def acronym_mentions(spark, sf_dir):
 
 @query(
     "mention_chunk_overlap",
-    """WITH m AS (SELECT doc_id, s AS ms, s + 150 AS me FROM documents, range(0, 100000, 777) AS r(s) WHERE s + 150 <= length(text)),
+    """WITH m AS (SELECT doc_id, s AS ms, s + 150 AS me FROM documents, unnest(range(0, length(text) - 149, 777)) AS r(s)),
     c AS (SELECT doc_id, unnest(range(0, greatest(length(text) - 100, 1), 900)) AS cs, length(text) AS n FROM documents)
     SELECT m.doc_id, ms AS start, count(*) AS chunks, string_agg(cs::VARCHAR, ',' ORDER BY cs) AS chunk_starts FROM m JOIN c ON m.doc_id = c.doc_id AND ms < least(cs + 1000, n) AND me > cs GROUP BY ALL""",
 )
@@ -168,5 +168,5 @@ def resolved_mentions(spark, sf_dir):
 @query("snap_to_words", r"""SELECT doc_id, (100 - length(regexp_extract(left(text, 100), '\S*$')))::BIGINT AS start, (200 + length(regexp_extract(substr(text, 201), '^\S*')))::BIGINT AS "end" FROM documents WHERE length(text) > 200""")
 def snap_to_words(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter("length(text) > 200")
-    before, after = F.regexp_extract(F.substring("text", 1, 100), r"\S*$", 0), F.regexp_extract(F.substring("text", F.lit(201), F.length("text")), r"^\S*", 0)
+    before, after = F.regexp_extract(F.substring("text", 1, 100), r"\S*\z", 0), F.regexp_extract(F.substring("text", F.lit(201), F.length("text")), r"^\S*", 0)
     return docs.select("doc_id", (100 - F.length(before)).cast("long").alias("start"), (200 + F.length(after)).cast("long").alias("end"))

@@ -17,7 +17,7 @@ def tables(spark, path, items=("the quick brown fox jumps over the lazy dog", "z
 
 
 def test_every_document_has_128_permutations(spark, tmp_path):
-    got = {r.doc_id: r.signature for r in catalog.QUERIES["minhash_documents"](spark, tables(spark, tmp_path)).collect()}
+    got = {r.doc_id: r.signature for r in catalog.QUERIES["minhash_sig"](spark, tables(spark, tmp_path)).collect()}
     for k, t in enumerate(TEXTS):
         words = [[int(hashlib.md5(g.encode() + i.to_bytes(4, "little")).hexdigest()[:8], 16) for g in grams(t)] if t else [2**32 - 1] for i in range(128)]
         assert got.pop(k) == ",".join(str(min(w)) for w in words)
@@ -26,7 +26,7 @@ def test_every_document_has_128_permutations(spark, tmp_path):
 
 def test_documents_meet_items(spark, tmp_path):
     sf = tables(spark, tmp_path, items := ("the quick brown fox jumps over the lazy dog", "zzz zzz"))
-    got = {(r.doc_id, r.item_id): (r.common, r.jaccard) for r in catalog.QUERIES["shingle_documents"](spark, sf).collect()}
+    got = {(r.doc_id, r.item_id): (r.common, r.jaccard) for r in catalog.QUERIES["shingle_jaccard"](spark, sf).collect()}
     want = {}
     for k, t in enumerate(TEXTS):
         for i, item in enumerate(items):
@@ -38,7 +38,7 @@ def test_documents_meet_items(spark, tmp_path):
 
 def test_simhash_and_embeddings_are_of_documents(spark, tmp_path):
     sf = tables(spark, tmp_path)
-    got = {r.doc_id: r.simhash for r in catalog.QUERIES["simhash_documents"](spark, sf).collect()}
+    got = {r.doc_id: r.simhash for r in catalog.QUERIES["simhash_sig"](spark, sf).collect()}
     for k, t in enumerate(TEXTS):
         if t:
             votes = [0] * 64

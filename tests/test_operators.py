@@ -110,6 +110,15 @@ def test_suppression(spark):
     assert sorted(r.x_id for r in events.suppress(df, ["k"], "at", 6).collect()) == [1, 3, 4]
 
 
+def test_suppressed_matches_open_no_window(spark):
+    """Matches five hours apart with a window of six: every other one is an alert; null times never are, ties go by their order."""
+    rows = [("k", i, f"2024-01-01 {5 * i:02d}:00", 6) for i in range(5)] + [("k", 9, None, 6), ("j", 11, "2024-01-01 00:00", 6), ("j", 10, "2024-01-01 00:00", 6), (None, 12, "2024-01-01 00:00", 6), (None, 13, "2024-01-01 07:00", 6)]
+    df = spark.createDataFrame(rows, "k string, x_id int, at string, h int").withColumn("at", F.col("at").cast("timestamp")).repartition(3)
+    got = events.suppress(df, ["k"], "at", "h", ["x_id"])
+    assert got.columns == df.columns and sorted(r.x_id for r in got.collect()) == [0, 2, 4, 10, 12, 13]
+    assert events.suppress(df.limit(0), ["k"], "at", 6).count() == 0
+
+
 def test_lifecycle(spark):
     ids = lambda df: sorted(r[0] for r in df.collect())
     items = spark.createDataFrame([(i,) for i in range(5)], "k int")
