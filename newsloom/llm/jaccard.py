@@ -7,7 +7,9 @@ set with a weight. Two sets are linked if 100 * |x & y| >= 70 * |x | y|.
    hash; tokens with a rare word are hardly shared by chance. A set x that is linked to anything misses
    tau = |x| - ceil(0.7 |x|) of its tokens at most, so the first tau + 1 of two linked sets have a token in common, and
    prefixes that are extended by d tokens have 1 + d in common. d is a tenth of the set's size, 2 at least. Tokens that no other prefix has, then
-   sets with too few tokens left for any partner, are dropped: exactly, as counts of both are known.
+   sets with too few tokens left for any partner, are dropped: exactly, as counts of both are known. Then partners are told apart by 64 hash
+   classes: a token that a set has in common only with classes that share too few tokens with it is dropped. A linked partner's class shares
+   enough, so this is exact too. It keeps out what large tables have in common by chance, a token here and there, each with another set.
 2. *Classes.* A token that ``RARE`` prefixes or fewer have is rare, and a signature by itself; others are frequent, fall
    into sub-classes by hash, and each pair of a sub-class is a signature. There are half as many sub-classes as
    common tokens are sure, so two linked sets share a rare token or a pair, and more than one of them. How many are sure depends on the sizes,
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.shared import free_name, small, written
+from newsloom.llm.shared import discard, free_name, shuffles_freed, small, written
 
 #: Links need this share, in percent, of the union.
 PERCENT = 70
@@ -229,7 +231,7 @@ def _survey(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, text: str, common: np.ndarray) -> DataFrame:
-    """sig (a token), set of the prefixes of the distinct sets of each partition."""
+    """sig (a token), set, n (the set's size) of the prefixes of the distinct sets of each partition."""
     shared = docs.sparkSession.sparkContext.broadcast(common)  # a byte a bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,16 +240,125 @@ def _prefixes(docs: DataFrame, text: str, common: np.ndarray) -> DataFrame:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in _slices(texts):
-                parts, ids = [np.zeros(0, np.uint64)], []
+                parts, ids, sizes = [np.zeros(0, np.uint64)], [], []
                 for s, c in token_sets(*word_hashes(texts[a:b], cache), shared.value):
                     h = set_ids(s)[0]
                     if h not in seen:
                         seen.add(h)
                         parts.append(prefix(s, c))
                         ids.append(h)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), [len(p) for p in parts[1:]]))], ["sig", "set"])
+                        sizes.append(len(s))
+                times = [len(p) for p in parts[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), *(pa.array(np.repeat(np.array(x, np.int64), times)) for x in (ids, sizes))], ["sig", "set", "n"])
+
+    return docs.select(F.col(text).cast("string").alias("_t")).mapInArrow(run, "sig bigint, set bigint, n bigint")
+
+
+def partners(sig: np.ndarray, sets: np.ndarray, many: int = RARE) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct rows sorted by sig: whether several sets have the sig, and for those rows a mask of the hash classes of the others; all classes, if more than many sets have it."""
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(sig)), bool), sig[1:] != sig[:-1]]))
+    sizes = np.diff(starts, append=len(sig))
+    several = np.repeat(sizes > 1, sizes)
+    sizes = sizes[sizes > 1]
+    if not len(sizes):
+        return several, np.zeros(0, np.uint64)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    with np.errstate(over="ignore"):
+        kind = _mix(sets[several].view(np.uint64)) & np.uint64(63)
+    bit = np.uint64(1) << kind
+    _, place, count = np.unique(group * 64 + kind.astype(np.int64), return_inverse=True, return_counts=True)
+    once = np.bitwise_or.reduceat(bit, np.cumsum(sizes) - sizes)[group]
+    mask = np.where(count[place] > 1, once, once & ~bit)
+    mask[(sizes > many)[group]] = ~np.uint64(0)
+    return several, mask
+
+
+def _others(prefixes: DataFrame) -> DataFrame:
+    """sig, set, n, mask: the distinct rows of tokens that several sets have, with the hash classes of the other sets. Rows of a token with many sets aren't held."""
+    many = RARE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = np.zeros((3, 0), np.int64)
+        large = last = None
+
+        def made(rows: np.ndarray, mask: np.ndarray | None = None) -> pa.RecordBatch:
+            mask = np.full(rows.shape[1], ~np.uint64(0)) if mask is None else mask
+            return pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(mask.view(np.int64))], ["sig", "set", "n", "mask"])
+
+        def whole(rows: np.ndarray) -> pa.RecordBatch:
+            several, mask = partners(rows[0], rows[1], many)
+            return made(rows[:, several], mask)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([rows, [c.to_numpy() for c in batch.columns]], axis=1)
+            new = np.ones(rows.shape[1], bool)
+            new[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
+            rows = rows[:, new]
+            if large is not None:
+                end = int(np.searchsorted(rows[0], large, side="right"))
+                again = int(end > 0 and rows[1, 0] == last)
+                if end > again:
+                    yield made(rows[:, again:end])
+                    last = rows[1, end - 1]
+                rows = rows[:, end:]
+                if not rows.shape[1]:
+                    continue
+                large = None
+            # The last token of a batch may go on in the next.
+            cut = int(np.searchsorted(rows[0], rows[0, -1]))
+            yield whole(rows[:, :cut])
+            rows = rows[:, cut:]
+            if rows.shape[1] > many:
+                yield made(rows)
+                large, last = rows[:2, -1]
+                rows = rows[:, :0]
+        yield whole(rows)
+
+    return prefixes.repartition("sig").sortWithinPartitions("sig", "set").mapInArrow(run, "sig bigint, set bigint, n bigint, mask bigint")
+
+
+def shared_enough(sets: np.ndarray, n: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Of rows sorted by set, whether one of the row's classes is in enough of its set's rows for a partner."""
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(sets)), bool), sets[1:] != sets[:-1]]))
+    if not len(starts):
+        return np.zeros(0, bool)
+    bits = np.unpackbits(np.ascontiguousarray(mask, np.dtype("<u8")).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    known = np.maximum(2, ((n[starts] * PERCENT + 99) // 100 + 9) // 10)  # sure(n)
+    full = np.add.reduceat(bits, starts, axis=0, dtype=np.int32) > known[:, None]
+    full = np.packbits(full, axis=1, bitorder="little").view("<u8").ravel()
+    return mask & np.repeat(full, np.diff(starts, append=len(sets))) != 0
+
+
+def _narrowed(met: DataFrame) -> DataFrame:
+    """met: sig, set, n, mask. Gives sig, set, n of those that a linked partner may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
 
-    return docs.select(F.col(text).cast("string").alias("_t")).mapInArrow(run, "sig bigint, set bigint")
+        def made() -> pa.RecordBatch:
+            sig, sets, n, mask = (np.concatenate(c) for c in zip(*held)) if held else [np.zeros(0, np.int64)] * 4
+            keep = shared_enough(sets, n, mask.view(np.uint64))
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, sets, n)], ["sig", "set", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [c.to_numpy() for c in batch.columns]
+            # The last set of a batch may go on in the next.
+            if cut := int(np.searchsorted(rows[1], rows[1][-1])):
+                held.append([x[:cut] for x in rows])
+                yield made()
+                held = []
+            elif held and held[0][1][0] != rows[1][0]:
+                yield made()
+                held = []
+            held.append([x[cut:] for x in rows])
+        yield made()
+
+    ordered = met.select("sig", "set", "n", "mask").repartition("set").sortWithinPartitions("set")
+    return ordered.mapInArrow(run, "sig bigint, set bigint, n bigint")
 
 
 def _combined(frequent: DataFrame) -> DataFrame:
@@ -408,14 +519,18 @@ def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
 
         return edges.select("a", "b").coalesce(1).mapInArrow(run, "a bigint, root bigint")
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both-ways")
-    roots = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")), "roots")
+    discard(edges)
+    roots = table = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")), "roots")
     while True:
         # The least root among the neighbours, then the root's root: paths halve.
         near = both.join(roots.select(F.col("a").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
         hooked = roots.join(near, "a").select("a", F.least("root", "r").alias("root"), F.col("root").alias("was"))
         jumped = hooked.join(roots.select(F.col("a").alias("root"), F.col("root").alias("rr")), "root", "left").select("a", F.least("root", F.coalesce("rr", "root")).alias("root"), "was")
         following = written(jumped, "roots")
+        discard(table)
+        table = following
         if following.filter("root <> was").isEmpty():
+            discard(both)
             return following.select("a", "root")
         roots = following.select("a", "root")
 
@@ -425,6 +540,12 @@ def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
 
 def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, n_similar (other documents linked directly), component_id (least key reachable): one row for each row."""
+    with shuffles_freed(docs.sparkSession):
+        return _similar(docs, key, text)
+
+
+def _similar(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Tables of steps go as soon as the next has been written; the survey and the last stay, as the result reads them."""
     survey = written(_survey(docs, key, text), "survey", by=("kind",))
     rows = survey.filter("kind = 0").select("key", "place", "n", F.col("h1").alias("set"), F.col("h2").alias("check"))
     # How common a bucket's words are, by powers of two; the buckets are bounded, so they may come to the driver. Those of words met three times or less are as rare as any.
@@ -436,15 +557,17 @@ def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     sets = rows.filter("n > 0").groupBy("set", "check").agg(F.min("key").alias("key"), F.min("place").alias("place"), F.count("*").alias("weight"), F.max("n").alias("n"))
 
     # Tokens that several prefixes have, of sets that have enough of them for a partner.
-    met = written(_met(_prefixes(docs, text, common)).select("sig", "set").distinct(), "met")
+    met = written(_others(_prefixes(docs, text, common)), "met")
     known = F.greatest(F.lit(2), F.expr(f"((n * {PERCENT} + 99) div 100 + 9) div 10"))  # sure(n)
     need = 1 + F.ceil(known / 2)  # signatures that linked sets share at least
-    enough = written(met.groupBy("set").agg(F.count("*").alias("m")).join(sets.select("set", "n"), "set").filter(F.col("m") > known).select("set", "n"), "enough")
-    tokens = written(met.join(small(enough, 24), "set"), "tokens")
+    tokens = written(_narrowed(met), "tokens")
+    enough = written(tokens.groupBy("set").agg(F.max("n").alias("n")), "enough")
+    discard(met)
     often = tokens.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1")
     classed = tokens.join(often, "sig")
     rare = classed.filter(F.col("c") <= RARE).select("sig", "set")
     shared = written(_met(rare.unionByName(_combined(classed.filter(F.col("c") > RARE)))).select("sig", "set", "low"), "shared")
+    discard(tokens)
 
     # A label for each set, and blocks of bounded size by label.
     votes = shared.groupBy("set", "low").agg(F.count("*").alias("c")).groupBy("set").agg(F.max_by(F.struct("low", "c"), F.struct("c", -F.col("low"))).alias("v"))
@@ -456,32 +579,37 @@ def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     size = labelled.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("t")).select("label", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("t") / BLOCK_TOKENS)).alias("parts"))
     block = F.xxhash64("label", F.pmod(F.xxhash64("set"), F.col("parts")))
     blocks = written(labelled.join(size, "label").select("set", "place", "weight", "n", block.alias("block")), "blocks")
-
+    discard(enough, first, labelled)
 
     # Tiles: each block by itself, and two that share a signature.
     thin = small(blocks.select("set", "block"), 16)
     across = shared.join(thin, "set").select("sig", "block").distinct()
     several = across.groupBy("sig").agg(F.min("block").alias("a"), F.max("block").alias("b")).filter("a < b").select("sig")
     across = written(across.join(several, "sig"), "across")
+    discard(shared)
     pairs = across.alias("x").join(across.alias("y"), "sig").filter("x.block < y.block").groupBy(F.col("x.block").alias("a"), F.col("y.block").alias("b")).agg(F.count("*").alias("c"))
     about = blocks.groupBy("block").agg(F.min(need).alias("need"), F.min("n").alias("low"), F.max("n").alias("high"))
     side = lambda x: about.select(F.col("block").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("need", "low", "high")))
     fits = (F.col("c") >= F.greatest("need_a", "need_b")) & (100 * F.col("high_a") >= PERCENT * F.col("low_b")) & (100 * F.col("high_b") >= PERCENT * F.col("low_a"))
     tiles = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits).select("a", "b")
     tiles = written(tiles.unionByName(blocks.groupBy(F.col("block").alias("a")).agg(F.count("*").alias("c")).filter("c > 1").select("a", F.col("a").alias("b"))), "tiles")
+    discard(across)
     part = tiles.select(F.xxhash64("a", "b").alias("tile"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
 
     # Whole sets of the candidates only, made anew from their texts.
     chosen = small(blocks.select("place", "set", "weight", "block"), 48)
     whole = _whole(_named(docs, key, text).join(chosen, "place"))
     linked = written(_verify(whole.join(small(part, 48), "block").select("tile", "block", "set", "weight", "tokens")), "links")
+    discard(blocks, tiles)
 
     roots = components(linked.select(F.col("set").alias("a"), F.col("least").alias("b")))
     links = linked.groupBy("set").agg(F.sum("links").alias("links"))
     named = sets.select("set", "key", "weight").join(roots.withColumnRenamed("a", "set"), "set", "left").join(links, "set", "left").withColumn("root", F.coalesce("root", "set"))
     named = written(named, "named")
+    discard(linked, roots)
     component = named.groupBy("root").agg(F.min("key").alias("component"))
     final = written(named.join(component, "root").filter("links IS NOT NULL OR weight > 1").select("set", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("similar"), "component"), "final")
+    discard(named)
     out = rows.join(final, "set", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("similar", F.lit(0)).cast("long").alias("n_similar"), F.when(F.col("n") > 0, F.coalesce("component", "key")).otherwise(F.col("key")).alias("component_id"))
 

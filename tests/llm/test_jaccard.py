@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -118,3 +119,70 @@ def test_components_in_rounds(spark):
     df = spark.createDataFrame(edges, "a bigint, b bigint")
     one = {(x.a, x.root) for x in jc.components(df).collect()}
     assert one == {(x.a, x.root) for x in jc.components(df, local=0).collect()} and (60, 0) in one
+
+
+def by_chance(n=60, parts=12):
+    """Texts of whole passages, each of which one other text has, always a different one; and a near copy of the first."""
+    r = random.Random(4)
+    made, texts = {}, []
+    for i in range(n):
+        words = []
+        for d in range(1, parts // 2 + 1):
+            for a in (i, (i - d) % n):
+                words += made.setdefault((a, d), [f"w{r.randrange(10**9)}" for _ in range(9)])
+        texts.append(" ".join(words))
+    return [*enumerate(texts), (n, texts[0] + " and more")]
+
+
+def test_tokens_shared_by_chance_go_before_blocks(spark, monkeypatch):
+    rows, counts, kept = by_chance(), {}, jc.written
+
+    def counted(df, name, **by):
+        out = kept(df, name, **by)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jc, "written", counted)
+    assert got(spark, rows) == brute(rows)
+    # Only the near copies have tokens left, or a few sets whose partners fall into one class.
+    assert 2 <= counts["enough"] <= 6 and counts["across"] <= 6
+
+
+def test_tables_and_shuffles_go(spark):
+    from newsloom.llm import shared
+
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
+    folder = shared.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    want = sorted(map(tuple, jc.similar(spark.createDataFrame(corpus(3), "doc_id bigint, text string")).collect()), key=str)
+    assert want == brute(corpus(3))
+    assert len({x.split("-")[1] for x in set(os.listdir(folder)) - before} - {"survey", "final", "edges"}) == 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+@pytest.mark.parametrize("many", [3, 10**6])
+def test_masks_against_brute_force(spark, monkeypatch, many):
+    monkeypatch.setattr(jc, "RARE", many)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rng = np.random.default_rng(8)
+        rows = [(int(s), int(x), 20) for s, x in zip(rng.integers(0, 40, 600), rng.integers(0, 90, 600))] + [(99, x, 20) for x in range(50)] * 2
+        df = spark.createDataFrame(rows, "sig bigint, set bigint, n bigint")
+        out = [tuple(r) for r in jc._others(df).collect()]
+        kind = lambda x: int(jc._mix(np.array([x], np.uint64))[0]) & 63
+        lists, want, per = {}, {}, {}
+        for s, x, _ in rows:
+            lists.setdefault(s, set()).add(x)
+        for s, xs in lists.items():
+            for x in xs if len(xs) > 1 else ():
+                want[s, x] = (1 << 64) - 1 if len(xs) > many else sum(1 << k for k in {kind(y) for y in xs if y != x})
+                per.setdefault(x, []).append(s)
+        assert {(s, x): m % (1 << 64) for s, x, _, m in out} == want and len(out) == len(want)
+        keep = set()
+        for x, ss in per.items():
+            full = [k for k in range(64) if sum(want[s, x] >> k & 1 for s in ss) > jc.sure(20)]
+            keep |= {(s, x) for s in ss if any(want[s, x] >> k & 1 for k in full)}
+        left = [(r.sig, r.set) for r in jc._narrowed(jc._others(df)).collect()]
+        assert set(left) == keep and len(left) == len(keep) and (many < 10 or len(keep) < len(want))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
