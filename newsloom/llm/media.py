@@ -14,11 +14,12 @@ bit-by-bit path, and both give the same arrays. Quantisation is 1; components ar
 wide enough, or several of 4095. Left-over coefficients are 255. The length of the payload is kept in a comment.
 
 ``stored`` writes the images to the shared folder and reads them again; ``features`` takes images of any origin: the ones
-that encode_batch made are decoded together, all others one by one and have no payload, what isn't a progressive JPEG has no feature, a null image has nulls only.
+that encode_batch made are decoded together, all others one by one and have no payload, what isn't a progressive JPEG has no feature, a null image has nulls only. With ``tensors`` it returns the full-resolution RGB tensors too, those
+that the features are made of; whoever writes the result stores them.
 
 Cases: a null text is empty, and empty is padded like all others, so every row has an image; null keys stay. Extra columns are
 ignored, whatever their names; repeated rows give equal values; an empty table gives no rows. A very long text is one image, in memory
-with its coefficients (some 20 bytes for each byte). A payload beyond 6.4 GB has no place in one JPEG and raises; a text of Spark can't be so long.
+with its coefficients (some 20 bytes for each byte). A payload beyond 6.4 GB has no place in one JPEG and raises; a text of Spark can't be so long. A tensor of 2 GB (of a text of 1 GB) has no place in one cell and raises.
 """
 
 from __future__ import annotations
@@ -510,19 +511,38 @@ def _frame(raw: bytes | None) -> Frame | None:
         return None
 
 
-def features(media: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """Of each stored image the payload's digest and tail, the stored form's digest, and the means and deviations of its RGB tensor."""
+def _cell(rgb: np.ndarray) -> tuple[int, int, bytes]:
+    if rgb.nbytes >= 1 << 31:
+        raise OverflowError(f"a tensor of {rgb.nbytes} bytes is too large for one cell")
+    return rgb.shape[0], rgb.shape[1], rgb.tobytes()
+
+
+def _plain(frame: Frame) -> bool:
+    """Whether an image is one of encode_batch's in what the scans don't say: quantisation of 1, 4:2:0, whole MCUs."""
+    ones = all(q in frame.quant and (frame.quant[q] == 1).all() for *_, q in frame.components)
+    return ones and [c[1:3] for c in frame.components] == [(2, 2), (1, 1), (1, 1)] and (frame.width, frame.height) == (16 * frame.mcus[0], 16 * frame.mcus[1])
+
+
+def features(media: DataFrame, *, key: str = "doc_id", tensors: bool = False) -> DataFrame:
+    """Of each stored image the payload's digest and tail, the stored form's digest, and the means and deviations of its RGB tensor. With tensors: height, width, rgb (its bytes in row order) as well."""
     names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [None, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    more = ""
+    if tensors:
+        names += ["height", "width", "rgb"]
+        types += [pa.int64(), pa.int64(), pa.binary()]
+        more = ", height bigint, width bigint, rgb binary"
 
     def other(k, raw: bytes | None) -> tuple:
         if raw is None:
-            return (k, *[None] * 7)
+            return (k, *[None] * (len(names) - 1))
         try:
-            feature = _shown(decode(raw))
+            rgb = decode(raw)
+            feature = _shown(rgb)
         except _UNREADABLE:
-            feature = None
-        return (k, None, None, None, None, len(raw), hashlib.sha256(raw).hexdigest(), feature)
+            rgb = feature = None
+        cells = () if not tensors else (None, None, None) if rgb is None else _cell(rgb)
+        return (k, None, None, None, None, len(raw), hashlib.sha256(raw).hexdigest(), feature, *cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -530,21 +550,24 @@ def features(media: DataFrame, *, key: str = "doc_id") -> DataFrame:
             rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             for part in _slices(rows, lambda r: len(r[1] or b"")):
                 read = [_frame(raw) for _, raw in part]
-                mine = [i for i, f in enumerate(read) if f is not None and f.comment.startswith(b"bytes=") and _is_ours(f)]
+                mine = [i for i, f in enumerate(read) if f is not None and f.comment.startswith(b"bytes=") and _is_ours(f) and _plain(f)]
                 frames = [read[i] for i in mine]
                 whole = coefficients_batch(frames) if mine else []
-                moments = _moments(frames, whole) if mine else []
+                rgb = tensors_batch(frames, whole) if mine else None
+                moments = _moments(frames, rgb) if mine else []
+                first = np.concatenate([[0], np.cumsum([f.mcus[0] * f.mcus[1] for f in frames])]).astype(int)
                 cuts = [np.concatenate([[0], np.cumsum([f.grid[c][0] * f.grid[c][1] for f in frames])]).astype(int) for c in range(3)]
                 done: dict[int, tuple] = {}
                 for i, (at, frame) in enumerate(zip(mine, frames)):
                     k, raw = part[at]
                     payload = payload_of(frame, [whole[c][cuts[c][i] : cuts[c][i + 1]] for c in range(3)])
-                    done[at] = (k, int(frame.comment.removeprefix(b"bytes=")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), moments[i])
+                    cells = _cell(_in_rows(rgb[first[i] : first[i + 1]], frame)) if tensors else ()
+                    done[at] = (k, int(frame.comment.removeprefix(b"bytes=")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), moments[i], *cells)
                 out = [done[i] if i in done else other(*part[i]) for i in range(len(part))]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names)
 
     kind = dict(media.dtypes)[key]
-    return media.select(key, "media").mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return media.select(key, "media").mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string" + more)
 
 
 def tensors_batch(frames: list[Frame], whole: list[np.ndarray]) -> np.ndarray:
@@ -562,9 +585,15 @@ def tensors_batch(frames: list[Frame], whole: list[np.ndarray]) -> np.ndarray:
     return _rgb(y, cb, cr)
 
 
-def _moments(frames: list[Frame], whole: list[np.ndarray]) -> list[str]:
+def _in_rows(mcus: np.ndarray, frame: Frame) -> np.ndarray:
+    """One image's part of tensors_batch as decode() gives it."""
+    w, h = frame.mcus
+    return mcus.reshape(h, w, 16, 16, 3).swapaxes(1, 2).reshape(16 * h, 16 * w, 3)
+
+
+def _moments(frames: list[Frame], tensors: np.ndarray) -> list[str]:
     """Whole numbers, exact whatever the order: the sums of each colour and of its squares make the mean and deviation."""
-    rgb = tensors_batch(frames, whole).reshape(-1, 256, 3)
+    rgb = tensors.reshape(-1, 256, 3)
     one = rgb.sum(axis=1, dtype=np.int64)
     two = np.einsum("mpc,mpc->mc", rgb.astype(np.int32), rgb.astype(np.int32)).astype(np.int64)
     starts = np.concatenate([[0], np.cumsum([f.mcus[0] * f.mcus[1] for f in frames])[:-1]])

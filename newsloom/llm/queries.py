@@ -92,8 +92,8 @@ def op8(spark, sf_dir):
 
 @query("op4_media_jpeg")
 def op4(spark, sf_dir):
-    """The images are written to the shared folder, and features come from what is read there."""
-    return media.features(media.stored(media.with_media(_table(spark, sf_dir, "documents"))))
+    """The images are written to the shared folder; features and full-resolution RGB tensors come from what is read there."""
+    return media.features(media.stored(media.with_media(_table(spark, sf_dir, "documents"))), tensors=True)
 
 
 _OP1_SQL = r"""

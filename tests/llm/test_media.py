@@ -230,3 +230,31 @@ def test_long_text(spark):
     df = spark.createDataFrame([(1, text), (2, text)], "doc_id bigint, text string")
     a, b = media.features(media.stored(media.with_media(df))).collect()
     assert a[1:] == b[1:] and a.payload_sha256 == hashlib.sha256(media.pad(text.encode())).hexdigest()
+
+
+def test_the_query_returns_whole_tensors(spark, tmp_path):
+    from newsloom.llm import queries
+
+    texts = ["", None, "é😀" * 400, "x" * 50_000, "abc"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op4_media_jpeg"](spark, str(tmp_path)).collect()}
+    assert len(got) == 5
+    for k, t in enumerate(texts):
+        rgb = media.decode(media.encode_batch([(t or "").encode()])[0], slowly=True)
+        assert (got[k].height, got[k].width) == rgb.shape[:2] and got[k].rgb == rgb.tobytes()
+
+
+def test_tensors_of_any_origin(spark):
+    rng = np.random.default_rng(5)
+    foreign, (ours,) = plain_jpeg(rng.integers(-30, 31, (12, 64)) * (rng.random((12, 64)) < 0.25), 4, 3), media.encode_batch([b"abc"])
+    # The same scans, but another quantisation, and a width that isn't whole MCUs.
+    coarse = ours.replace(bytes([0, *[1] * 64]), bytes([0, *[3] * 64]))
+    at = ours.index(b"\xff\xc2") + 7
+    narrow = ours[:at] + struct.pack(">H", int.from_bytes(ours[at : at + 2], "big") - 3) + ours[at + 2 :]
+    rows = [(1, foreign), (2, ours), (3, None), (4, b""), (5, coarse), (6, narrow)]
+    df = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in rows], "doc_id bigint, media binary").coalesce(1)
+    got = {r.doc_id: r for r in media.features(df, tensors=True).collect()}
+    for k in (1, 2, 5, 6):
+        rgb = media.decode(dict(rows)[k], slowly=True)
+        assert (got[k].height, got[k].width, got[k].rgb, got[k].feature) == (*rgb.shape[:2], rgb.tobytes(), media._shown(rgb))
+    assert list(got[3])[1:] == [None] * 10 and list(got[4])[7:] == [None] * 4
