@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.shared import discard, free_name, shuffles_freed, small, written
+from newsloom.llm.shared import discard, free_name, pieces, released, shuffles_freed, small, written
 
 #: Links need this share, in percent, of the union.
 PERCENT = 70
@@ -51,7 +51,6 @@ RARE = 256
 BLOCK, BLOCK_TOKENS = 256, 400_000
 #: Edges between sets that one task contracts by union-find (16 bytes each); more are contracted in rounds.
 LOCAL_EDGES = 4_000_000
-_SLICE = 2 << 20
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -64,21 +63,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words(dict):
-    """Hashes of words, made when they are first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def word_hashes(texts: list[str | None], cache: Words) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words one after the other, and each text's number. Words are what ASCII white space parts, A-Z lowered; the cache is bounded here."""
-    if len(cache) > 300_000:
-        cache.clear()
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words one after the other, and each text's number. Words are what ASCII white space parts, A-Z lowered. A hash takes less than finding it in a table would."""
     split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
     counts = np.array([len(ws) for ws in split], np.int64)
-    return np.fromiter(map(cache.__getitem__, itertools.chain.from_iterable(split)), np.uint64, int(counts.sum())), counts
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(split)), np.uint64, int(counts.sum())), counts
 
 
 def token_sets(flat: np.ndarray, counts: np.ndarray, common: np.ndarray | None = None, words: int = WORDS) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -173,17 +162,6 @@ def combinations(tokens: np.ndarray, band: int) -> np.ndarray:
 # -- scans
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    a = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= _SLICE:
-            yield a, i + 1
-            a, size = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
-
-
 def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, place (the key, or where it is null a hash of the text), _t."""
     k, t = F.col(key).cast("long"), F.col(text).cast("string")
@@ -191,43 +169,33 @@ def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _survey(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """kind 0: key, place, n, h1, h2 of each row. kind 1: how often (n) the distinct sets of a part of a partition have words of the bucket h1, from 2 on."""
+    """kind 0: key, place, n, h1, h2 of each row. kind 1: how often (n) the distinct sets of a partition have words of the bucket h1, from 2 on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Words()
         seen: set[int] = set()
-        held: list[np.ndarray] = []
-        size = 0
+        met = np.zeros(1 << BUCKET_BITS, np.uint32)
         names = ["kind", "key", "place", "n", "h1", "h2"]
-
-        def counted() -> Iterator[pa.RecordBatch]:
-            if held:
-                values, n = np.unique(np.concatenate(held), return_counts=True)
-                values, n = values[n > 1], n[n > 1]
-                m = len(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), *[pa.nulls(m, pa.int64())] * 2, pa.array(n.astype(np.int64)), pa.array(values.astype(np.int64)), pa.nulls(m, pa.int64())], names)
-                held.clear()
-
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in _slices(texts):
-                flat, counts = word_hashes(texts[a:b], cache)
+            for part in pieces(batch, 2):
+                flat, counts = word_hashes(part.column(2).to_pylist())
                 sets = [s for s, _ in token_sets(flat, counts)]
                 ids = [set_ids(s) for s in sets]
                 buckets = (flat >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32)
+                held = [buckets[:0]]
                 for (h, _), end, n in zip(ids, np.cumsum(counts).tolist(), counts.tolist()):
                     if h not in seen:
                         seen.add(h)
                         held.append(buckets[end - n : end])
-                        size += n
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int8)), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([i[0] for i in ids], pa.int64()), pa.array([i[1] for i in ids], pa.int64())], names)
-                # Counts of large partitions come in parts of bounded size.
-                if size > 8_000_000:
-                    yield from counted()
-                    size = 0
-        yield from counted()
+                values, n = np.unique(np.concatenate(held), return_counts=True)
+                met[values] += n.astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int8)), part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([i[0] for i in ids], pa.int64()), pa.array([i[1] for i in ids], pa.int64())], names)
+        values = np.flatnonzero(met > 1)
+        for a in range(0, len(values), 100_000):
+            some = values[a : a + 100_000]
+            m = len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), *[pa.nulls(m, pa.int64())] * 2, pa.array(met[some].astype(np.int64)), pa.array(some.astype(np.int64)), pa.nulls(m, pa.int64())], names)
 
-    return _named(docs, key, text).mapInArrow(run, "kind tinyint, key bigint, place bigint, n bigint, h1 bigint, h2 bigint")
+    return _named(docs, key, text).mapInArrow(released(run), "kind tinyint, key bigint, place bigint, n bigint, h1 bigint, h2 bigint")
 
 
 def _prefixes(docs: DataFrame, text: str, common: np.ndarray) -> DataFrame:
@@ -235,13 +203,11 @@ def _prefixes(docs: DataFrame, text: str, common: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(common)  # a byte a bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Words()
         seen: set[int] = set()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in _slices(texts):
+            for part in pieces(batch, 0):
                 parts, ids, sizes = [np.zeros(0, np.uint64)], [], []
-                for s, c in token_sets(*word_hashes(texts[a:b], cache), shared.value):
+                for s, c in token_sets(*word_hashes(part.column(0).to_pylist()), shared.value):
                     h = set_ids(s)[0]
                     if h not in seen:
                         seen.add(h)
@@ -251,7 +217,7 @@ def _prefixes(docs: DataFrame, text: str, common: np.ndarray) -> DataFrame:
                 times = [len(p) for p in parts[1:]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), *(pa.array(np.repeat(np.array(x, np.int64), times)) for x in (ids, sizes))], ["sig", "set", "n"])
 
-    return docs.select(F.col(text).cast("string").alias("_t")).mapInArrow(run, "sig bigint, set bigint, n bigint")
+    return docs.select(F.col(text).cast("string").alias("_t")).mapInArrow(released(run), "sig bigint, set bigint, n bigint")
 
 
 def partners(sig: np.ndarray, sets: np.ndarray, many: int = RARE) -> tuple[np.ndarray, np.ndarray]:
@@ -316,7 +282,7 @@ def _others(prefixes: DataFrame) -> DataFrame:
                 rows = rows[:, :0]
         yield whole(rows)
 
-    return prefixes.repartition("sig").sortWithinPartitions("sig", "set").mapInArrow(run, "sig bigint, set bigint, n bigint, mask bigint")
+    return prefixes.repartition("sig").sortWithinPartitions("sig", "set").mapInArrow(released(run), "sig bigint, set bigint, n bigint, mask bigint")
 
 
 def shared_enough(sets: np.ndarray, n: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -358,7 +324,7 @@ def _narrowed(met: DataFrame) -> DataFrame:
         yield made()
 
     ordered = met.select("sig", "set", "n", "mask").repartition("set").sortWithinPartitions("set")
-    return ordered.mapInArrow(run, "sig bigint, set bigint, n bigint")
+    return ordered.mapInArrow(released(run), "sig bigint, set bigint, n bigint")
 
 
 def _combined(frequent: DataFrame) -> DataFrame:
@@ -372,7 +338,7 @@ def _combined(frequent: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), [len(m) for m in made]))], ["sig", "set"])
 
     tokens = frequent.groupBy("set").agg(F.min("n").alias("n"), F.collect_list("sig").alias("tokens")).filter(F.size("tokens") > 1)
-    return tokens.mapInArrow(run, "sig bigint, set bigint")
+    return tokens.mapInArrow(released(run), "sig bigint, set bigint")
 
 
 def _met(signed: DataFrame) -> DataFrame:
@@ -386,20 +352,18 @@ def _whole(chosen: DataFrame) -> DataFrame:
     """chosen: set, weight, block, _t. Gives set, weight, block, tokens (binary): once a partition, and only where the text has that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Words()
         seen: set[int] = set()
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(3).to_pylist()
-            for a, b in _slices(texts):
+            for part in pieces(batch, 3):
                 rows, tokens = [], []
-                for i, (s, _) in zip(range(a, b), token_sets(*word_hashes(texts[a:b], cache))):
-                    if names[i] not in seen and set_ids(s)[0] == names[i]:
-                        seen.add(names[i])
+                for i, (name, (s, _)) in enumerate(zip(part.column(0).to_pylist(), token_sets(*word_hashes(part.column(3).to_pylist())))):
+                    if name not in seen and set_ids(s)[0] == name:
+                        seen.add(name)
                         rows.append(i)
                         tokens.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(rows, pa.int64())) for k in range(3)), pa.array(tokens, pa.binary())], ["set", "weight", "block", "tokens"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(rows, pa.int64())) for k in range(3)), pa.array(tokens, pa.binary())], ["set", "weight", "block", "tokens"])
 
-    return chosen.select("set", "weight", "block", "_t").mapInArrow(run, "set bigint, weight bigint, block bigint, tokens binary")
+    return chosen.select("set", "weight", "block", "_t").mapInArrow(released(run), "set bigint, weight bigint, block bigint, tokens binary")
 
 
 # -- verification
@@ -470,8 +434,8 @@ def _verify(tiled: DataFrame) -> DataFrame:
         def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([g[k] for g in out], pa.int64()) for k in range(3)], ["set", "links", "least"])
 
-        for batch in batches:
-            for tile, *row in zip(*(c.to_pylist() for c in batch.columns)):
+        for part in (p for batch in batches for p in pieces(batch, 4)):
+            for tile, *row in zip(*(c.to_pylist() for c in part.columns)):
                 if tile != now:
                     close()
                     now, rows = tile, {}
@@ -484,7 +448,7 @@ def _verify(tiled: DataFrame) -> DataFrame:
         yield done()
 
     ordered = tiled.select("tile", "set", "block", "weight", "tokens").repartition("tile").sortWithinPartitions("tile")
-    return ordered.mapInArrow(run, "set bigint, links bigint, least bigint")
+    return ordered.mapInArrow(released(run), "set bigint, links bigint, least bigint")
 
 
 # -- components
@@ -517,7 +481,7 @@ def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
             roots = _union(np.concatenate(pairs)) if pairs else {}
             yield pa.RecordBatch.from_arrays([pa.array(list(roots), pa.int64()), pa.array(list(roots.values()), pa.int64())], ["a", "root"])
 
-        return edges.select("a", "b").coalesce(1).mapInArrow(run, "a bigint, root bigint")
+        return edges.select("a", "b").coalesce(1).mapInArrow(released(run), "a bigint, root bigint")
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both-ways")
     discard(edges)
     roots = table = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")), "roots")

@@ -42,11 +42,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.shared import pieces, released
+
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Text bytes taken at once, and words kept from one batch to the next (twice at most).
 _SLICE, _KEEP = 2 << 20, 400_000
+#: Words that encode keeps of late; words that are met again are mostly met soon.
+_TASK_KEEP = 100_000
 #: Characters that a kept word has on average at most.
 _WORD = 32
 #: Characters of a word beyond which it is cut, and its parts searched alone.
@@ -494,17 +498,17 @@ def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text
     """key, n_tokens, ids (array of int). path: the .model file, at the same place on all executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = _worker(path, kind)
+        # This cache goes with its task: a worker that waits, or works for another operator, holds the model only.
+        model, cache = load(path, kind), Cache(_TASK_KEEP)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _slices(texts):
-                ids = model.encode(texts[a:b], cache)
+            for part in pieces(batch, 1, 1 << 20):
+                ids = model.encode(part.column(1).to_pylist(), cache)
                 sizes = np.array([len(i) for i in ids])
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 array = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), array], [key, "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), array], [key, "n_tokens", "ids"])
 
-    return docs.select(key, F.col(text).cast("string").alias("_t")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_tokens bigint, ids array<int>")
+    return docs.select(key, F.col(text).cast("string").alias("_t")).mapInArrow(released(run), f"`{key}` {dict(docs.dtypes)[key]}, n_tokens bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, *, key: str = "doc_id", ids: str = "ids", kind: str | None = None) -> DataFrame:

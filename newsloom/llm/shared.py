@@ -1,18 +1,24 @@
-"""The shared folder, written tables, and the size-checked broadcast that the operators use."""
+"""The shared folder, written tables, the size-checked broadcast that the operators use, and what keeps their Python workers small."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast below this many bytes (rows counted, times a row's width); beyond it both sides shuffle.
 BROADCAST_LIMIT = 64 << 20
+#: Bytes of text that Python objects are made of at a time.
+PIECE = 512 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,6 +91,34 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def pieces(batch: pa.RecordBatch, n: int, size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, of one row at least, that end where the values of column n (strings or bytes) come to size bytes. What is made of values is held for one slice."""
+    column = batch.column(n)
+    if not any(kind(column.type) for kind in (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary, pa.types.is_large_binary)):
+        yield batch
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = before = 0
+    while a < batch.num_rows:
+        b = min(int(np.searchsorted(ends, before + size)) + 1, batch.num_rows)
+        yield batch.slice(a, b - a)
+        a, before = b, int(ends[b - 1])
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function for mapInArrow, after whose rows free memory goes back to the system: a worker waits for its next task with all that its allocators keep, also while the JVM beside it works alone."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+                trim(0)
+
+    return whole
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system that holds a URI, and the path in it; works on the driver and on executors."""
     return pafs.FileSystem.from_uri(uri)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.shared import pieces, released
+
 #: Labelled rows that the model is fitted on, at most, of each label; those with the least hash of their id.
 SAMPLE = 4000
 #: Terms in the lexicon at most.
@@ -264,11 +266,11 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, terms: int = T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(lexicon)
-        for batch in batches:
-            f = np.array([scanner.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, Scanner.FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(f[:, i]) for i in range(Scanner.FEATURES))], ["toxic", *(f"f{i}" for i in range(Scanner.FEATURES))])
+        for part in (p for batch in batches for p in pieces(batch, 0)):
+            f = np.array([scanner.features(t) for t in part.column(0).to_pylist()]).reshape(-1, Scanner.FEATURES)
+            yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array(f[:, i]) for i in range(Scanner.FEATURES))], ["toxic", *(f"f{i}" for i in range(Scanner.FEATURES))])
 
-    got = rows.mapInArrow(run, "toxic int, " + ", ".join(f"f{i} double" for i in range(Scanner.FEATURES))).toPandas().sort_values(["toxic", *(f"f{i}" for i in range(Scanner.FEATURES))])
+    got = rows.mapInArrow(released(run), "toxic int, " + ", ".join(f"f{i} double" for i in range(Scanner.FEATURES))).toPandas().sort_values(["toxic", *(f"f{i}" for i in range(Scanner.FEATURES))])
     return Model(lexicon, fit(got.iloc[:, 1:].to_numpy(), got["toxic"].to_numpy().astype(float)))
 
 
@@ -277,12 +279,12 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, *, key: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(model.lexicon)
-        for batch in batches:
-            f = np.array([scanner.features(t or "") for t in batch.column(1).to_pylist()]).reshape(-1, Scanner.FEATURES)
+        for part in (p for batch in batches for p in pieces(batch, 1)):
+            f = np.array([scanner.features(t or "") for t in part.column(1).to_pylist()]).reshape(-1, Scanner.FEATURES)
             s = model.scores(f)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(s >= threshold).cast(pa.int32())], [key, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array(s >= threshold).cast(pa.int32())], [key, "score", "predicted"])
 
-    return docs.select(key, F.col(text).cast("string").alias("_t")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, score double, predicted int")
+    return docs.select(key, F.col(text).cast("string").alias("_t")).mapInArrow(released(run), f"`{key}` {dict(docs.dtypes)[key]}, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, *, text: str = "text") -> DataFrame:
@@ -291,8 +293,8 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, *, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(model.lexicon)
-        for batch in batches:
-            f = np.array([scanner.features(t or "") for t in batch.column(n).to_pylist()]).reshape(-1, Scanner.FEATURES)
-            yield batch.filter(pa.array(model.scores(f) < threshold))
+        for part in (p for batch in batches for p in pieces(batch, n)):
+            f = np.array([scanner.features(t or "") for t in part.column(n).to_pylist()]).reshape(-1, Scanner.FEATURES)
+            yield part.filter(pa.array(model.scores(f) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

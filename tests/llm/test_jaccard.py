@@ -1,7 +1,9 @@
 import os
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from newsloom.llm import jaccard as jc
@@ -186,3 +188,45 @@ def test_masks_against_brute_force(spark, monkeypatch, many):
         assert set(left) == keep and len(left) == len(keep) and (many < 10 or len(keep) < len(want))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def traced(monkeypatch, df, make, batch):
+    """Rows out, and peak and lasting MB of Python and numpy, of the function that make(df) gives to mapInArrow, run over one batch here."""
+    caught = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: caught.append(f) or self)
+    make(df)
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in caught[0](iter([batch])))
+        left, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    return n, peak / 1e6, left / 1e6
+
+
+def test_workers_hold_little(spark, monkeypatch):
+    """A batch of many different words: what is made of texts is held for a piece of them, and no table of words grows."""
+    r = random.Random(5)
+    texts = [" ".join(f"{r.getrandbits(48):x}" for _ in range(300)) for _ in range(2000)]
+    df = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
+    keys = pa.array(range(2000), pa.int64())
+    common = np.zeros(1 << jc.BUCKET_BITS, np.uint8)
+    n, peak, _ = traced(monkeypatch, df, lambda d: jc._survey(d, "doc_id", "text"), pa.RecordBatch.from_arrays([keys, keys, pa.array(texts)], ["key", "place", "_t"]))
+    assert n >= 2000 and peak < 55, peak
+    n, peak, _ = traced(monkeypatch, df, lambda d: jc._prefixes(d, "text", common), pa.RecordBatch.from_arrays([pa.array(texts)], ["_t"]))
+    assert n == 2000 * len(jc.prefix(np.arange(298, dtype=np.uint64), common[:298])) and peak < 30, peak
+
+
+def test_pieces():
+    from newsloom.llm.shared import pieces
+
+    texts = ["ab", None, "", "x" * 50, "éé", None, "c" * 9, "d"]
+    for kind in (pa.string(), pa.large_string(), pa.binary()):
+        values = [t.encode() if t is not None and kind == pa.binary() else t for t in texts]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(values, kind)], ["k", "t"])
+        for size in (1, 5, 12, 1000):
+            got = list(pieces(batch.slice(1), 1, size))
+            assert pa.Table.from_batches(got) == pa.Table.from_batches([batch.slice(1)])
+            # Without its last value, no piece has come to the size.
+            assert all(sum(len((t or "").encode()) for t in texts[p.column(0)[0].as_py() : p.column(0)[-1].as_py()]) < size for p in got)
+    assert not list(pieces(batch.slice(0, 0), 1)) and [p.num_rows for p in pieces(pa.RecordBatch.from_arrays([pa.nulls(3)], ["t"]), 0)] == [3]

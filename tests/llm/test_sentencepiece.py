@@ -4,11 +4,13 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece as library
 
 from newsloom.llm import sentencepiece as sp
+from tests.llm.test_jaccard import traced
 
 PATH = os.environ.get("TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
 
@@ -138,3 +140,14 @@ def test_cache_is_bounded_by_characters():
     for i in range(5):
         model.encode([f"{i}" * 1000], cache)
     assert cache.chars < 3000
+
+
+def test_no_words_stay_in_a_worker(spark, monkeypatch):
+    """What a task has learned of words goes with it."""
+    r = random.Random(6)
+    texts = [" ".join(f"{r.getrandbits(40):x}" for _ in range(200)) for _ in range(200)]
+    sp.load(PATH, None)
+    df = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(texts)], ["doc_id", "_t"])
+    n, _, left = traced(monkeypatch, df, lambda d: sp.encode(d, PATH), batch)
+    assert n == 200 and left < 3, left
