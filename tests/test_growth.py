@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from newsloom import catalog
-from newsloom.operators import graph
+from newsloom.operators import graph, search
 
 DAY = datetime.timedelta(days=1)
 START = datetime.datetime(2024, 1, 1)
@@ -38,3 +38,18 @@ def test_many_facts_of_one_object(spark, tmp_path):
     began = time.perf_counter()
     got = catalog.QUERIES["earliest_invalidation"](spark, str(tmp_path))
     assert got.filter("invalidated_by = event_id + 1").count() == 59_999 and time.perf_counter() - began < 60
+
+
+def test_long_text_is_split_once(spark):
+    df = spark.createDataFrame([(1, "word license " * 20_000), (2, "license, Version"), (3, ""), (4, None)], "k long, t string")
+    queries = spark.createDataFrame([(1, "license"), (2, "version")], "query int, term string")
+    began = time.perf_counter()
+    got = {(r["query"], r.k) for r in search.bm25(df, "k", "t", queries).collect()}
+    few, search.TERMS = search.TERMS, 0
+    try:
+        joined = {(r["query"], r.k) for r in search.bm25(df, "k", "t", queries).collect()}
+    finally:
+        search.TERMS = few
+    counts = {(r.term, r.k): (r.tf, r.n) for r in search.postings(df, "k", "t").collect()}
+    assert got == joined == {(1, 1), (1, 2), (2, 2)} and counts == {("word", 1): (20_000, 40_000), ("license", 1): (20_000, 40_000), ("license", 2): (1, 2), ("version", 2): (1, 2)}
+    assert time.perf_counter() - began < 40
