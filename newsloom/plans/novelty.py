@@ -71,12 +71,7 @@ def chunk_novelty(spark, sf_dir):
            count(*) FILTER (s >= 0.1) AS at_10, count(*) FILTER (s >= 0.3) AS at_30 FROM u""",
 )
 def similarity_stats(spark, sf_dir):
-    pairs = similarity.pairs_above(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", -2.0)
-    s = F.col("similarity")
-    return pairs.agg(
-        F.count("*").alias("pairs"), F.min(s).alias("low"), F.max(s).alias("high"), F.round(F.avg(s), 6).alias("mean"), F.round(F.percentile(s, 0.5), 6).alias("median"),
-        F.round(F.stddev_pop(s), 6).alias("deviation"), F.round(F.percentile(s, 0.95), 6).alias("p95"), F.count_if(s >= 0.1).alias("at_10"), F.count_if(s >= 0.3).alias("at_30"),
-    )
+    return similarity.stats(similarity.counts(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
 
 
 _REACH = """

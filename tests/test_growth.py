@@ -3,11 +3,15 @@
 import datetime
 import random
 import time
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from newsloom import catalog
-from newsloom.operators import graph, search
+from newsloom.operators import graph, search, similarity
 
 DAY = datetime.timedelta(days=1)
 START = datetime.datetime(2024, 1, 1)
@@ -53,3 +57,49 @@ def test_long_text_is_split_once(spark):
     counts = {(r.term, r.k): (r.tf, r.n) for r in search.postings(df, "k", "t").collect()}
     assert got == joined == {(1, 1), (1, 2), (2, 2)} and counts == {("word", 1): (20_000, 40_000), ("license", 1): (20_000, 40_000), ("license", 2): (1, 2), ("version", 2): (1, 2)}
     assert time.perf_counter() - began < 40
+
+
+def _vectors(spark, n, seed=5):
+    """Random vectors with copies, a zero vector, and ties of similarities; ids in no order."""
+    r = np.random.default_rng(seed)
+    m = np.round(r.normal(size=(n, 4)) * 2) / 2
+    m[:3], m[3:6] = 0, m[6]
+    ids, labels = r.permutation(n), r.integers(0, 3, n)
+    df = spark.createDataFrame([(int(i), v.tolist(), None if j == 7 else int(l)) for j, (i, v, l) in enumerate(zip(ids, m, labels))], "k long, v array<float>, l int")
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    unit = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    return df, dict(zip(ids.tolist(), unit)), {int(i): None if j == 7 else int(l) for j, (i, l) in enumerate(zip(ids, labels))}
+
+
+@pytest.mark.parametrize("rows", [1024, 40, 9])
+def test_tiles_against_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(similarity, "PIECE", 16)
+    monkeypatch.setattr(similarity, "HELD", 50)
+    df, unit, label = _vectors(spark, 120)
+    s = {(a, b): round(float(unit[a] @ unit[b]), 6) + 0.0 for a in unit for b in unit if a != b}
+    nearest = {a: sorted((-s[a, b], b) for b in unit if b != a)[:5] for a in unit}
+    assert {(r.k, r.rank): (-r.similarity, r.neighbour) for r in similarity.top_k(df, "k", "v", 5, rows=rows).collect()} == {(a, i + 1): t for a, ts in nearest.items() for i, t in enumerate(ts)}
+    others = {a: max(s[a, b] for b in unit if b != a and None not in (label[a], label[b]) and label[a] != label[b]) for a in unit if label[a] is not None}
+    assert {r.k: r.similarity for r in similarity.best_other(df, "k", "v", "l", rows=rows).collect()} == others
+    pairs = {(a, b): x for (a, b), x in s.items() if a < b}
+    found = {r.units: r.n for r in similarity.counts(df, "k", "v", rows=rows).collect()}
+    assert found == dict(Counter(round(x * 1e6) for x in pairs.values()))
+    high = {p: x for p, x in pairs.items() if x >= 0.9}
+    assert {(r.a, r.b): r.similarity for r in similarity.pairs_above(df, "k", "v", 0.9, rows=rows).collect()} == high
+    linked = similarity.linked(df, "k", "v", 0.9, rows=rows).collect()
+    sums = Counter()
+    for r in linked:
+        sums[r.a] += r.units
+    assert +sums == Counter({a: sum(round(x * 1e6) for p, x in high.items() if a in p) for p in high for a in p})
+    edges = spark.createDataFrame(list(high), "a long, b long")
+    roots = lambda e: {(r.node, r.root) for r in similarity.components(e).collect()}
+    assert roots(similarity.linked(df, "k", "v", 0.9, rows=rows).filter("b IS NOT NULL")) == roots(edges)
+
+
+def test_rows_are_sent_so_many_times_whatever_their_number(spark):
+    """A scan sends a row BLOCKS times at most, and a tile gives at most a row for each of its rows where pairs would be many more."""
+    same = spark.range(3_000).select(F.col("id").alias("k"), F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("v"), (F.col("id") % 2).alias("l"))
+    sent = similarity._scan(same, "k", "v", lambda tiles: (pa.RecordBatch.from_arrays([pa.array([len(a.unit) + (0 if b is None else len(b.unit))], pa.int64())], ["n"]) for a, b in tiles), "n long", rows=10)
+    assert sent.agg(F.sum("n")).first()[0] == similarity.BLOCKS * 3_000
+    assert similarity.linked(same, "k", "v", 0.4).count() < 3 * 2 * 3_000 and similarity.counts(same, "k", "v").count() == 1
+    assert similarity.components(similarity.linked(same, "k", "v", 0.4).filter("b IS NOT NULL")).filter("root = 0").count() == 3_000
