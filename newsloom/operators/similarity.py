@@ -325,8 +325,7 @@ def components(edges: DataFrame) -> DataFrame:
         roots = roots.select("a", "root")
 
 
-def medoids(pairs: DataFrame) -> DataFrame:
-    """cluster, medoid of rows (cluster, a, b, similarity), each pair once: the member with the largest sum, the least of equal ones."""
-    both = pairs.select("cluster", "a", "similarity").unionByName(pairs.select("cluster", F.col("b").alias("a"), "similarity"))
-    sums = both.groupBy("cluster", "a").agg(F.round(F.sum("similarity"), 6).alias("s"))
-    return sums.groupBy("cluster").agg(F.min_by("a", F.struct(-F.col("s"), F.col("a"))).alias("medoid"))
+def medoids(sums: DataFrame) -> DataFrame:
+    """cluster, medoid of rows (cluster, a, units), the sums of a member's similarities by part: the member with the largest sum, the least of equal ones."""
+    whole = sums.groupBy("cluster", "a").agg(F.sum("units").alias("s"))
+    return whole.groupBy("cluster").agg(F.min_by("a", F.struct(-F.col("s"), F.col("a"))).alias("medoid"))

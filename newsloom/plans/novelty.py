@@ -8,6 +8,7 @@ from newsloom.catalog import query, table
 from newsloom.functions import fingerprint, vectors
 from newsloom.ids import sid
 from newsloom.operators import novelty, similarity
+from newsloom.storage import cut
 
 _PAIRS = """
     n AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -95,9 +96,9 @@ def story_clusters(spark, sf_dir):
     SELECT seed AS cluster, arg_min(a, (-t, a)) AS medoid FROM i GROUP BY seed""".replace("arg_min(a, (-t, a))", "first(a ORDER BY t DESC, a)"),
 )
 def cluster_medoids(spark, sf_dir):
-    pairs = similarity.pairs_above(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.40)
-    roots = similarity.components(pairs).withColumnsRenamed({"node": "a", "root": "cluster"})
-    return similarity.medoids(pairs.join(roots, "a"))
+    found = cut(similarity.linked(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.40))
+    roots = similarity.components(found.filter("b IS NOT NULL")).withColumnsRenamed({"node": "a", "root": "cluster"})
+    return similarity.medoids(found.filter("b IS NULL").join(roots, "a"))
 
 
 _SHINGLES = "list_distinct(list_transform(range(1, greatest(length(t) - 1, 2)), lambda i: substr(t, i, 3)))"
