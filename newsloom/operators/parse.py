@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line_no, start, end, line: offsets come from one pass over the line lengths inside the row."""
-    parts = F.split(text, "\n", -1)
-    step = lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.concat(a["s"], F.array(a["at"])).alias("s"))
-    starts = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("s")), step, lambda a: a["s"])
-    rows = df.select(key, F.posexplode(F.arrays_zip(parts.alias("line"), starts.alias("start"))).alias("line_no", "x"))
+    """key, line_no, start, end, line: offsets come from the line lengths inside the row."""
+    # Lengths are added up by runs of lines, and runs after that, as an array is copied for every number that is put behind it.
+    width = lambda n: F.greatest(F.ceil(F.sqrt(n)), F.lit(1)).cast("int")
+    upto = lambda xs, first: F.aggregate(xs, F.struct(first.alias("at"), F.array().cast("array<int>").alias("s")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["s"], F.array(a["at"])).alias("s")), lambda a: a["s"])
+    runs = lambda ls, w: F.transform(F.sequence(F.lit(0), F.floor((F.size(ls) - 1) / w).cast("int")), lambda i: F.slice(ls, i * w + 1, w))
+    sums = lambda rs: F.transform(rs, lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + x))
+    with_ = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    starts = lambda ls: with_(runs(ls, width(F.size(ls))), lambda rs: F.flatten(F.zip_with(rs, upto(sums(rs), F.lit(0)), upto)))
+    both = lambda parts: F.zip_with(parts, with_(F.transform(parts, lambda x: F.length(x) + 1), starts), lambda x, at: F.struct(x.alias("line"), at.alias("start")))
+    rows = df.filter(F.col(text).isNotNull()).select(key, F.posexplode(with_(F.split(text, "\n", -1), both)).alias("line_no", "x"))
     return rows.select(key, "line_no", F.col("x.start").cast("long").alias("start"), (F.col("x.start") + F.length("x.line")).cast("long").alias("end"), F.col("x.line").alias("line"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,32 +55,55 @@ def merged(df: DataFrame, keys: list[str]) -> DataFrame:
 def resolve_overlaps(df: DataFrame, keys: list[str], margin: float = 0.1) -> DataFrame:
     """Greedy by (start, -length, -confidence): a span is kept unless it overlaps the last one kept; a clearly surer one takes its place.
 
-    The fold is sequential, so it runs for each key in Python, over columns only; a key's spans are those of one document."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_n=pdf.start - pdf.end, _c=-pdf.confidence).sort_values(["start", "_n", "_c"], kind="stable")
-        kept: list[int] = []
-        for i, (s, e, c) in enumerate(zip(pdf.start, pdf.end, pdf.confidence)):
-            if kept and s < pdf.end.iat[kept[-1]] and e > pdf.start.iat[kept[-1]]:
-                if c > pdf.confidence.iat[kept[-1]] + margin:
-                    kept[-1] = i
-            else:
-                kept.append(i)
-        return pdf.iloc[kept].drop(columns=["_n", "_c"])
-
-    return df.groupBy(*keys).applyInPandas(fold, df.schema)
+    The fold is sequential: a key's spans pass in order, sorted on disk if need be, and the last one kept is all that is held."""
+    n = len(keys)
+    rows = df.select("*", *(F.col(c).alias(f"_{i}") for i, c in enumerate([*keys, "start", "end", "confidence"])))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "start", F.desc("end"), F.desc_nulls_last("confidence"))
+    width = len(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = now = last = None
+        for batch in batches:
+            own, kept, at = batch.select(list(range(width))), [], None
+            for i, (s, e, c, *key) in enumerate(zip(*(batch.column(width + j).to_pylist() for j in (n, n + 1, n + 2, *range(n))))):
+                if last is not None and key == now and s < last[1] and e > last[0]:
+                    if c is None or last[2] is None or not c > last[2] + margin:
+                        continue
+                elif at is not None:
+                    kept.append(at)
+                elif held is not None:
+                    yield held
+                held, now, last, at = None, key, (s, e, c), i
+            yield own.take(pa.array(kept, pa.int64()))
+            if at is not None:
+                held = own.take(pa.array([at]))
+        if held is not None:
+            yield held
+
+    return rows.mapInArrow(run, df.schema)
 
 
 def pack(lines: DataFrame, key: str, *, target: int = 512, most: int = 1024) -> DataFrame:
-    """key, chunk, start, end, tokens of blocks (key, start, end, tokens) packed in order: a chunk closes at the target, never passes the most; a larger block is one by itself."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list[int]] = []
-        for s, e, n in pdf.sort_values("start")[["start", "end", "tokens"]].itertuples(index=False):
-            if out and out[-1][2] < target and out[-1][2] + n <= most:
-                out[-1][1], out[-1][2] = e, out[-1][2] + n
-            else:
-                out.append([s, e, n])
-        return pd.DataFrame({key: [pdf[key].iat[0]] * len(out), "chunk": range(len(out)), "start": [o[0] for o in out], "end": [o[1] for o in out], "tokens": [o[2] for o in out]})
-
-    return lines.groupBy(key).applyInPandas(fold, f"{key} bigint, chunk bigint, start bigint, end bigint, tokens bigint")
+    """key, chunk, start, end, tokens of blocks (key, start, end, tokens) packed in order: a chunk closes at the target, never passes the most; a larger block is one by itself.
+
+    A key's blocks pass in order, sorted on disk if need be; only the chunk at hand is held."""
+    rows = lines.select(key, "start", "end", "tokens").repartition(key).sortWithinPartitions(key, "start", "end")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for batch in batches:
+            out = []
+            for k, s, e, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if now is not None and now[0] == k and now[4] < target and now[4] + n <= most:
+                    now[3], now[4] = e, now[4] + n
+                    continue
+                if now is not None:
+                    out.append(now)
+                now = [k, now[1] + 1 if now is not None and now[0] == k else 0, s, e, n]
+            yield made(out)
+        yield made([] if now is None else [now])
+
+    def made(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 5)], names=[key, "chunk", "start", "end", "tokens"])
+
+    return rows.mapInArrow(run, f"{key} bigint, chunk bigint, start bigint, end bigint, tokens bigint")
