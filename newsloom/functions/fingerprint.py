@@ -7,11 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Grams whose hashes a task keeps.
 KNOWN = 1 << 16
+#: Tokens that votes are counted of at a time.
+TOKENS = 1 << 16
 
 
 def shingles(text: Column, k: int = 3) -> Column:
@@ -63,9 +66,33 @@ def jaccard_estimate(a: Column, b: Column) -> Column:
 
 def simhash(df: DataFrame, key: str, tokens: Column, bits: int = 64) -> DataFrame:
     """key, simhash (hexadecimal): of each bit the sign of the votes of all token occurrences' MD5s."""
-    rows = df.select(key, F.explode(tokens).alias("w"))
-    rows = rows.groupBy(key, "w").agg(F.count("*").alias("n")).select(key, "n", F.conv(F.substring(F.md5(F.encode("w", "UTF-8")), 1, bits // 4), 16, -10).cast("long").alias("h"))
-    votes = [F.sum(F.when(F.shiftrightunsigned("h", bits - 1 - i).bitwiseAND(F.lit(1)) == 1, F.col("n")).otherwise(-F.col("n"))) for i in range(bits)]
-    grouped = rows.groupBy(key).agg(F.array(*votes).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            column = rows.column(1)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), dtype="i8")
+            a = before = 0
+            while a < len(column):
+                # Rows of about TOKENS tokens; a longer one by itself, in slices.
+                b = min(int(np.searchsorted(ends, before + TOKENS)) + 1, len(column))
+                part, some = column.slice(a, b - a), np.diff(ends[a:b], prepend=before)
+                words = part.flatten().dictionary_encode()
+                digests = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest()[: bits // 8] for w in words.dictionary.to_pylist()), "u1").reshape(-1, bits // 8)
+                signs = np.unpackbits(digests, axis=1).astype("i4") * 2 - 1
+                index, starts = words.indices.to_numpy(), np.cumsum(some) - some
+                kept = np.flatnonzero(some)
+                votes = np.zeros((len(kept), bits), "i8")
+                for x in range(0, len(index), 2 * TOKENS):
+                    y = min(x + 2 * TOKENS, len(index))
+                    owner = np.searchsorted(starts[kept], [x, y - 1], "right") - 1
+                    inside = np.arange(owner[0], owner[1] + 1)
+                    votes[inside] += np.add.reduceat(signs[index[x:y]], np.maximum(starts[kept][inside] - x, 0), axis=0)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, votes.size + 1, bits), pa.int32()), pa.array(votes.ravel()))
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(kept + a)), lists], [key, "v"])
+                a, before = b, int(ends[b - 1])
+
+    votes = df.select(key, tokens.alias("_w")).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, v array<bigint>")
+    # Rows of one key vote together; a row's own words never leave it.
+    grouped = votes.groupBy(key).agg(F.array(*(F.sum(F.col("v")[i]) for i in range(bits))).alias("v"))
     digits = F.transform(F.sequence(F.lit(0), F.lit(bits // 4 - 1)), lambda j: F.hex(F.aggregate(F.slice("v", j * 4 + 1, F.lit(4)), F.lit(0).cast("long"), lambda s, x: s * 2 + (x > 0).cast("long"))))
     return grouped.select(key, F.lower(F.array_join(digits, "")).alias("simhash"))
