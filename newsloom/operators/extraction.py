@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,8 @@ Extractor = Callable[[list[str]], list[list[str]]]
 
 def sentences(texts: list[str]) -> list[list[str]]:
     """Statements by punctuation: what stands in for a language model."""
-    return [[m.strip() for m in re.findall(r"[^.!?\n]+[.!?]", t)] for t in texts]
+    # A statement begins where the one before, or a line, ends; a search from every letter of an open end would read it as often as it has letters.
+    return [[m.strip() for m in re.findall(r"(?<![^.!?\n])[^.!?\n]++[.!?]", t)] for t in texts]
 
 
 def extract(df: DataFrame, key: str, text: str, client: Extractor, *, batch: int = 32, tries: int = 3) -> DataFrame:
@@ -34,8 +36,10 @@ def extract(df: DataFrame, key: str, text: str, client: Extractor, *, batch: int
                     except OSError:
                         if not left:
                             raise
-                flat = [(k, i, s) for k, found in zip(part.column(0).to_pylist(), got) for i, s in enumerate(found)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], part.schema.field(0).type), pa.array([f[1] for f in flat], pa.int32()), pa.array([f[2] for f in flat], pa.string())], [key, "statement_no", "statement"])
+                counts = np.array([len(f) for f in got], "i8")
+                owner = np.repeat(np.arange(part.num_rows), counts)
+                number = np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(number, pa.int32()), pa.array(list(chain.from_iterable(got)), pa.string())], [key, "statement_no", "statement"])
 
     return df.select(key, F.col(text).cast("string").alias("_t")).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, statement_no int, statement string")
 
