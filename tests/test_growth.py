@@ -1,8 +1,10 @@
 """Work that grows no faster than the input: results against brute force, and sizes at which listing pairs, or splitting a text once for each of its words, doesn't end in time."""
 
 import datetime
+import hashlib
 import random
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -11,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom import catalog
-from newsloom.operators import graph, search, similarity
+from newsloom.functions import fingerprint, udfs
+from newsloom.operators import extraction, graph, novelty, search, similarity, spans
 
 DAY = datetime.timedelta(days=1)
 START = datetime.datetime(2024, 1, 1)
@@ -103,3 +106,49 @@ def test_rows_are_sent_so_many_times_whatever_their_number(spark):
     assert sent.agg(F.sum("n")).first()[0] == similarity.BLOCKS * 3_000
     assert similarity.linked(same, "k", "v", 0.4).count() < 3 * 2 * 3_000 and similarity.counts(same, "k", "v").count() == 1
     assert similarity.components(similarity.linked(same, "k", "v", 0.4).filter("b IS NOT NULL")).filter("root = 0").count() == 3_000
+
+
+def test_empty_short_and_astral_texts_match_items(spark):
+    """As in SQL: an empty text is a set of one, and grams are of code points."""
+    docs = spark.createDataFrame([(1, ""), (2, "ab"), (3, "AB"), (4, "a😀b😀"), (5, None), (6, "xyz" * 9)], "d long, t string")
+    items = spark.createDataFrame([(1, ""), (2, "ab"), (3, "a😀b"), (4, None), (5, "xyzx")], "i long, t string")
+    got = {(r.d, r.i): (r.common, r.jaccard) for r in novelty.shingle_matches(docs, "d", items, "i", "t", 0.25).collect()}
+    assert got == {(1, 1): (1, 1.0), (2, 2): (1, 1.0), (3, 2): (1, 1.0), (4, 3): (1, 0.5), (6, 5): (2, 0.666667)}
+
+
+def test_folds_of_many_and_of_long_keys(spark):
+    began = time.perf_counter()
+    many = spark.range(60_000).selectExpr("id AS d", "0L AS start", "9L AS end", "5L AS tokens", "0.5D AS confidence")
+    assert spans.pack(many, "d").count() == 60_000 and spans.resolve_overlaps(many, ["d"]).count() == 60_000 and time.perf_counter() - began < 30
+    long = spark.range(25_000).selectExpr("7L AS d", "id * 10 AS start", "id * 10 + 11 AS end", "100L AS tokens", "0.5D AS confidence")
+    chunks = sorted(spans.pack(long, "d").collect(), key=lambda r: r.chunk)
+    assert [(r.chunk, r.start, r.end, r.tokens) for r in chunks[:2]] == [(0, 0, 61, 600), (1, 60, 121, 600)] and len(chunks) == 4167 and chunks[-1].end == 250_001
+    assert sorted(r.start for r in spans.resolve_overlaps(long, ["d"]).collect()) == list(range(0, 250_000, 20))
+
+
+def test_simhash_of_long_texts_without_rows_of_words(spark):
+    words = [f"w{i * i % 997}" for i in range(300_000)]
+    df = spark.createDataFrame([(1, words), (2, ["a"]), (3, []), (4, None), (5, ["a", "b"]), (5, ["c"])], "k long, w array<string>")
+    found = fingerprint.simhash(df, "k", F.col("w"))
+    want = {}
+    for k, ws in {1: words, 2: ["a"], 5: ["a", "b", "c"]}.items():
+        votes = np.zeros(64, int)
+        for w, n in Counter(ws).items():
+            votes += n * (2 * np.unpackbits(np.frombuffer(hashlib.md5(w.encode()).digest()[:8], "u1")).astype(int) - 1)
+        want[k] = np.packbits(votes > 0).tobytes().hex()
+    assert {r.k: r.simhash for r in found.collect()} == want
+    assert "Generate" not in found._jdf.queryExecution().toString()
+
+
+def test_texts_of_a_batch_are_taken_in_pieces():
+    column = pa.array(["é" * 20_000, None, ""] * 500)
+    tracemalloc.start()
+    got = udfs._texts(udfs._nfc, pa.string())(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.equals(column) and peak < 10 << 20
+
+
+def test_open_end_is_read_once():
+    began = time.perf_counter()
+    assert extraction.sentences(["a" * 200_000 + "\nOne. Two!?x"]) == [["One.", "Two!"]] and time.perf_counter() - began < 5
